@@ -21,24 +21,31 @@ from pyspark.sql import functions as F
 from arcweave.llm.common import arrays, map_arrow
 
 #: Words of hosts and paths to block, and ordinary ones.
-BAD_WORDS = ("adult", "adult-x", "porn", "xxx", "sex", "casino", "poker", "betting", "slots", "pills", "viagra", "warez", "torrent-free", "crack", "malware", "phish", "spam", "spamfarm", "cheap-loans", "escort", "nude", "freemoney", "clickbait", "win-prize", "hack")
-GOOD_WORDS = ("news", "blog", "wiki", "docs", "science", "garden", "travel", "library", "school", "city", "recipes", "music", "forum", "shop", "weather", "sports", "museum", "history", "essex", "middlesex", "sussex", "analysis", "expert", "therapist", "spokane", "pillow", "bethel", "crackers", "hackney", "document")
+BAD_WORDS = ("adult", "adult-x", "porn", "xxx", "sex", "casino", "poker", "betting", "slots", "pills", "viagra", "warez", "torrent-free", "crack", "malware", "phish", "spam", "spamfarm", "cheap-loans", "escort", "nude", "freemoney", "clickbait", "win-prize", "hack", "bets", "cheap", "ads", "track", "tracker", "banner", "doubleclick", "popunder", "jackpot", "gamble", "hentai", "farm-links", "replica")
+GOOD_WORDS = ("news", "blog", "wiki", "docs", "science", "garden", "travel", "library", "school", "city", "recipes", "music", "forum", "shop", "weather", "sports", "museum", "history", "essex", "middlesex", "sussex", "analysis", "expert", "therapist", "spokane", "pillow", "bethel", "crackers", "hackney", "document", "better", "adsorb", "adobe", "trackside", "winter", "window", "free", "farm", "link", "cheaper-by-the-dozen", "roadside", "gadgets", "beads", "running-track")
 SUFFIXES = ("example.com", "example.net", "example.org", "com", "org", "net")
 PATHS = ("/", "/en/12", "/de/345", "/fr/67.html", "/es/89/", "/index.html", "/a/b", "")
 BITS = 14
 
 
+def made_up(i: int) -> str:
+    """A plain host name of short syllables."""
+    return "".join(("th", "er", "on", "in", "an", "re", "nd", "ti", "sh", "ed")[(i * 7 + k * k * 3 + i // 10 * k) % 10] for k in range(2 + i % 3))
+
+
 def labelled() -> list[tuple[str, str, int]]:
-    """The training table: (host, path, 1 to block)."""
+    """The training table: (host, path, 1 to block).  Each URL to block has a twin to allow, which differs in the telling word only; some plain hosts follow."""
     out = []
-    for bad, words in ((1, BAD_WORDS), (0, GOOD_WORDS)):
-        for i, w in enumerate(words):
-            for j, s in enumerate(SUFFIXES):
-                path = PATHS[(i + j) % len(PATHS)]
-                out += [(f"{w}.{s}", path, bad), (f"www.{w}{i}.{s}", path, bad), (f"blog.{GOOD_WORDS[(i + j) % len(GOOD_WORDS)]}.{s}", f"/{w}{path}", bad)]
-    for i in range(400):  # made-up plain hosts of short syllables
-        name = "".join(("th", "er", "on", "in", "an", "re", "nd", "ti", "sh", "ed")[(i * 7 + k * k * 3 + i // 10 * k) % 10] for k in range(2 + i % 3))
-        out.append((f"{('', 'www.', 'm.', 'blog.')[i % 4]}{name}.{SUFFIXES[i % 3]}", PATHS[i % len(PATHS)], 0))
+    for i, bad in enumerate(BAD_WORDS):
+        for j, s in enumerate(SUFFIXES):
+            path, front = PATHS[(i + j) % len(PATHS)], ("", "www.", "m.", "blog.")[(i + j) % 4]
+            good, plain = GOOD_WORDS[(i + j) % len(GOOD_WORDS)], made_up(i * len(SUFFIXES) + j)
+            other, second = BAD_WORDS[(i * 5 + j + 1) % len(BAD_WORDS)], made_up(i * 11 + j)
+            out += [(f"{front}{bad}.{s}", path, 1), (f"{front}{plain}.{s}", path, 0)]
+            out += [(f"{front}{bad}-{other}.{s}", path, 1), (f"{front}{good}-{second}.{s}", path, 0)]
+            out += [(f"{front}{plain}.{s}", f"/{bad}{path}", 1), (f"{front}{plain}.{s}", f"/{good}{path}", 0)]
+            out += [(f"{f}{made_up(i * 17 + j * 3 + k)}.{s}", path, 0) for k, f in enumerate(("", "www.", "m.", "blog."))]
+            out += [(f"{front}{bad}{i}.{s}", path, 1), (f"{front}{good}{i}.{s}", path, 0)]
     return out
 
 
@@ -51,19 +58,19 @@ def grams(host: str, path: str, low: int = 3, high: int = 5) -> np.ndarray:
     return np.unique(np.array(found, np.int64))
 
 
-def train(table: list[tuple[str, str, int]] | None = None, steps: int = 300, l2: float = 1e-3) -> np.ndarray:
+def train(table: list[tuple[str, str, int]] | None = None, steps: int = 800, l2: float = 1e-5) -> np.ndarray:
     """Weights, the last one the intercept, by full-batch gradient steps with momentum."""
     table = table if table is not None else labelled()
     rows = [grams(h, p) for h, p, _ in table]
     y = np.array([b for *_, b in table], float)
     at, of = np.concatenate([*rows, np.zeros(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     value = np.repeat([1 / np.sqrt(max(1, len(r))) for r in rows], [len(r) for r in rows])
+    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum()))  # both classes count alike
     w, speed = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(steps if len(rows) else 0):
-        p = 1 / (1 + np.exp(-(np.bincount(of, value * w[at], len(rows)) + w[-1])))
-        g = np.append(np.bincount(at, value * (p - y)[of], 1 << BITS), (p - y).sum()) / len(rows) + l2 * np.append(w[:-1], 0) / 10
-        speed = 0.9 * speed - 8.0 * g
-        w = w + speed
+        d = weight * (1 / (1 + np.exp(-(np.bincount(of, value * w[at], len(rows)) + w[-1]))) - y)
+        speed = 0.9 * speed - 2.0 * (np.append(np.bincount(at, value * d[of], 1 << BITS), d.sum()) + l2 * np.append(w[:-1], 0))
+        w += speed
     return w
 
 
@@ -96,7 +103,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], threshold: float
         hosts, paths, by_rule = (batch.column(i).to_pylist() for i in (1, 2, 4))
         rows = [grams(h, p) for h, p in zip(hosts, paths, strict=True)]
         z = np.array([weights[r].sum() / np.sqrt(max(1, len(r))) for r in rows]) + weights[-1]
-        score = 1 / (1 + np.exp(-z))
+        score = np.where([len(r) > 0 for r in rows], 1 / (1 + np.exp(-z)), 0.0)  # nothing to go by: allowed
         return arrays(schema, batch.column(0), batch.column(1), batch.column(2), batch.column(3), [v or ("block" if s >= threshold else "allow") for v, s in zip(by_rule, score.tolist(), strict=True)], score)
 
     host, path = parts(F.col(url_col))
