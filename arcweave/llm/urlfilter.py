@@ -25,12 +25,13 @@ BAD_WORDS = ("adult", "adult-x", "porn", "xxx", "sex", "casino", "poker", "betti
 GOOD_WORDS = ("news", "blog", "wiki", "docs", "science", "garden", "travel", "library", "school", "city", "recipes", "music", "forum", "shop", "weather", "sports", "museum", "history", "essex", "middlesex", "sussex", "analysis", "expert", "therapist", "spokane", "pillow", "bethel", "crackers", "hackney", "document", "better", "adsorb", "adobe", "trackside", "winter", "window", "free", "farm", "link", "cheaper-by-the-dozen", "roadside", "gadgets", "beads", "running-track")
 SUFFIXES = ("example.com", "example.net", "example.org", "com", "org", "net")
 PATHS = ("/", "/en/12", "/de/345", "/fr/67.html", "/es/89/", "/index.html", "/a/b", "")
+SYLLABLES = ("th", "er", "on", "in", "an", "re", "nd", "ti", "sh", "ed", "ble", "tion", "ing", "ha", "he", "st", "es", "or", "it", "al")
 BITS = 14
 
 
 def made_up(i: int) -> str:
     """A plain host name of short syllables."""
-    return "".join(("th", "er", "on", "in", "an", "re", "nd", "ti", "sh", "ed")[(i * 7 + k * k * 3 + i // 10 * k) % 10] for k in range(2 + i % 3))
+    return "".join(SYLLABLES[(i * 7 + k * k * 3 + i // 20 * (k + 1)) % 20] for k in range(2 + i % 3))
 
 
 def labelled() -> list[tuple[str, str, int]]:
