@@ -2,16 +2,17 @@
 
 A document's set holds the hashes of its distinct k-word shingles (words are
 runs of bytes other than ASCII white space, A-Z in lower case; a text of fewer
-words is one shingle).  One pass over the texts gives each document 128 minima.
-Bands of four minima each name a bucket; of every minimum only two low bits are
-kept, packed into four 64-bit numbers.  Two documents' share of equal bit pairs,
+words is one shingle).  One pass over the texts gives each document 256 minima.
+Of the first 128, bands of four each name a bucket; of every minimum only two
+low bits are kept, packed into eight 64-bit numbers.  Two documents' share of equal bit pairs,
 corrected for chance, estimates their similarity, by XOR and bit counts.
 
 Documents with equal sets are one class, represented by the smallest id.
 Buckets of more than one representative give candidate pairs:
   1. each representative with one leader of its buckets (a star, never all pairs of a bucket);
   2. the stars of other, hashed leaders, for buckets that still hold several components;
-  3. at last all pairs of different components within a bucket.
+  3. at last the pairs of different components within a bucket, each only in
+     the first bucket it shares, and only if their rarest shingles overlap.
 A pair whose estimate is more than five standard deviations below the threshold
 is dropped; the others are confirmed on the full sets.  A pair that shares no
 bucket is lost with probability (1 - 0.8^4)^32 < 1e-7 at similarity 0.8.
@@ -33,8 +34,7 @@ from pyspark.sql import functions as F
 
 from arcweave.llm.common import WordHash, arrays, bytes_list, id_text, map_arrow, written
 
-BANDS, ROWS, BITS = 32, 4, 2
-HASHES = BANDS * ROWS
+BANDS, ROWS, BITS, HASHES = 32, 4, 2, 256
 SIGNED = "doc_id long, n_shingles long, hi long, lo long, sketch array<long>, bands array<long>"
 _RANDOM = np.random.Generator(np.random.PCG64(20))
 _A = _RANDOM.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,7 +92,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             low = minima([sets[i] for i in some])
             keys = np.zeros((len(some), BANDS), np.uint64)
             for r in range(ROWS):
-                keys += low.reshape(len(some), BANDS, ROWS)[:, :, r] * _P[r]
+                keys += low[:, : BANDS * ROWS].reshape(len(some), BANDS, ROWS)[:, :, r] * _P[r]
             keys = mixed(keys + np.arange(BANDS, dtype=np.uint64) * _P[ROWS]).view(np.int64)
             bits = (mixed(low) & np.uint64((1 << BITS) - 1)).reshape(len(some), -1, 64 // BITS)
             packs = (bits << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64).view(np.int64)
@@ -151,9 +151,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(joined.select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame:
+    """doc_id, probe and index: each set's rarest hashes, of which two sets above the threshold share one.
+
+    The order is the same for all sets: by the count of the hash's cell (a table
+    of fixed size), then by hash.  Of n hashes, the larger set of a pair needs
+    the first n - t n + 1 and the smaller one n - 2 t n / (1 + t) + 1.
+    """
+    cell = np.uint64(64 - cells.bit_length() + 1)
+    counted = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+
+    def count(batches):
+        total = np.zeros(cells, np.int64)
+        for batch in batches:
+            for x in batch.column(1).to_pylist():
+                np.add.at(total, (np.frombuffer(x, np.uint64) >> cell).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield arrays(counted, at, total[at])
+
+    rows = sets.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(cells, np.int64)
+    table[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+    schema = pa.schema([("doc_id", pa.int64()), ("probe", pa.list_(pa.int64())), ("index", pa.list_(pa.int64()))])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        probe, index = [], []
+        for x in batch.column(1).to_pylist():
+            h = np.frombuffer(x, np.uint64)
+            h = h[np.lexsort((h, shared.value[(h >> cell).astype(np.int64)]))].view(np.int64)
+            n = len(h)
+            probe.append(h[: n - -(-percent * n // 100) + 1])
+            index.append(h[: n - -(-2 * percent * n // (100 + percent)) + 1])
+        return arrays(schema, batch.column(0), probe, index)
+
+    return map_arrow(sets, run, "doc_id long, probe array<long>, index array<long>")
+
+
+def last_pairs(left: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, low: float) -> DataFrame:
+    """Pairs (a, b) of different components of a bucket, each in the first bucket they share, that size, sketch and rarest hashes allow."""
+    open_ = left.select("rep").distinct()
+    rare = rare_first(sets.join(open_.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), percent).withColumnRenamed("doc_id", "rep")
+    facts = written(reps.select("rep", "n_shingles", "sketch", "bands").join(rare, "rep"), "facts")
+    rows = left.select("bucket", "rep", "comp").join(facts, "rep")
+    a = rows.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "probe")))
+    b = rows.select(F.col("bucket").alias("b_bucket"), *(F.col(c).alias(f"b_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "index")))
+    larger = F.struct("a_n_shingles", "a_rep") > F.struct("b_n_shingles", "b_rep")
+    sized = (F.col("a_comp") != F.col("b_comp")) & (100 * F.col("b_n_shingles") >= percent * F.col("a_n_shingles"))
+    alike = (estimate(F.col("a_sketch"), F.col("b_sketch")) >= low) & F.arrays_overlap("a_probe", "b_index")
+    common = F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    pairs = a.join(b, (F.col("bucket") == F.col("b_bucket")) & larger & sized & alike & (F.get(common, F.lit(0)) == F.col("bucket")))
+    return pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
+
+
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    low = percent / 100 - 5 * 0.043
+    low = percent / 100 - 5 * 0.03
     table = written(signed(docs, k), "signed")
     some = table.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     reps = some.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "bands")).alias("r"))
@@ -191,12 +244,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3) -> D
         if turn < rounds:
             head = left.where("rep = leader").select("bucket", F.col("rep").alias("head"), F.col("comp").alias("head_comp"))
             pairs = left.join(head, "bucket").where("comp <> head_comp").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
+            new = written(likely(pairs.distinct().join(tried, ["a", "b"], "left_anti")), "pairs")
         else:
-            one = left.join(sketches, "rep").select("bucket", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-            two = one.select("bucket", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("na").alias("nb"), F.col("sa").alias("sb"))
-            near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            pairs = one.join(two, [one.bucket == two.bucket, near, estimate(F.col("sa"), F.col("sb")) >= low]).select("a", "b")
-        new = written(likely(pairs.distinct().join(tried, ["a", "b"], "left_anti")), "pairs")
+            new = written(last_pairs(left, reps, sets, percent, low).join(tried, ["a", "b"], "left_anti"), "pairs")
         if not new.limit(1).count():
             if turn < rounds:
                 continue
