@@ -50,15 +50,20 @@ def packed(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
+def encoded(tokenizer, text: str) -> np.ndarray:
+    """The library's ids of one text, without its offsets (which cost as much again)."""
+    return np.asarray(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+
 class WordIds(dict):
     """Ids, as little-endian unsigned 32-bit integers, of the words of a text; at most `most` are remembered, none of over `longest` characters."""
 
-    def __init__(self, tokenizer, most: int = 300_000, longest: int = 200):
+    def __init__(self, tokenizer, most: int = 500_000, longest: int = 200):
         super().__init__({"": b""})
         self.tokenizer, self.most, self.longest = tokenizer, most, longest
 
     def __missing__(self, word: str) -> bytes:
-        ids = packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        ids = packed(encoded(self.tokenizer, word))
         if len(word) <= self.longest:
             self[word] = ids
         return ids
@@ -75,7 +80,7 @@ class WordIds(dict):
         """Encode the words as one text; first: whether a token id begins a word; drop: an id that only separates them."""
         if not words:
             return
-        ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        ids = encoded(self.tokenizer, text)
         starts = np.flatnonzero(first[ids])
         if drop is not None:
             starts = np.concatenate([[0], np.flatnonzero(ids == drop) + 1])
@@ -94,7 +99,7 @@ class ByteLevel:
     #: Two white spaces in a row, or any other than space and line end; also the separator used here.
     UNUSUAL = re.compile(r"\s\s|[^\S \n]|\x00")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         self.tokenizer = load(path)
         back = byte_table()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -115,7 +120,7 @@ class ByteLevel:
         bare = [w for w in new if w[0] not in " \n"]
         known.learn(spaced, "".join(spaced), self.spaced)
         known.learn(bare, "\n".join(bare), self.spaced, self.newline)
-        return [b"".join(map(known.__getitem__, s)) if s is not None else packed(self.tokenizer.encode(t, add_special_tokens=False).ids) for s, t in zip(split, texts, strict=True)]
+        return [b"".join(map(known.__getitem__, s)) if s is not None else packed(encoded(self.tokenizer, t)) for s, t in zip(split, texts, strict=True)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from arcweave.llm.bpe import WordIds, load
+from arcweave.llm.bpe import WordIds, encoded, load
 from arcweave.llm.common import id_text, slices
 
 SENTENCE, HARD, HARD_STEP, NEAR = 4, 16, 16, 12
@@ -54,10 +54,11 @@ class WordLevel:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.words
         new = known.make_room(split)
-        parts = {w: m.groups() for w in new if (m := self.LETTERS.fullmatch(w))}
-        letters = list({a for a, _ in parts.values() if a not in known})
+        plain = {w for w in new if w.isascii() and w.isalpha()}
+        parts = {w: m.groups() for w in new - plain if (m := self.LETTERS.fullmatch(w))}
+        letters = list(plain | {a for a, _ in parts.values() if a not in known})
         if letters:
-            ids = np.asarray(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, np.int64)
+            ids = encoded(self.tokenizer, " ".join(letters))
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(letters):
                 data, starts = ids.astype("<u4").tobytes(), np.append(0, ends[:-1])
