@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arcweave.llm import bpe, langid, lattice, neardup, packing, pii, quality, urlfilter
+from arcweave.llm import bpe, langid, lattice, media, neardup, packing, pii, quality, urlfilter, warc
 from arcweave.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op3_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(read(spark, sf_dir, "documents"))
+
+
 def op4_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(read(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"), least=0)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
@@ -46,6 +54,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_packing, op4_lattice_score, op5_near_duplicates, op7_byte_bpe, op8_language_id, op9_url_filter, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_packing, op3_webp, op4_lattice_score, op5_near_duplicates, op6_warc, op7_byte_bpe, op8_language_id, op9_url_filter, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}
