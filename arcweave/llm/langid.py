@@ -196,23 +196,40 @@ def fit(docs: DataFrame, order: int = 4, max_docs: int = 150, long_chars: int =
     return model
 
 
+def judged(texts: list[str | None], model: Model | None) -> tuple[list, list, list, list]:
+    """Language, score, bits per character and rejection of each text."""
+    n = len(texts)
+    pred, score, bits, rejected = ["und"] * n, [0.0] * n, [None] * n, [True] * n
+    some = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
+    if some:
+        entropies = model.entropies([texts[i] for i in some])
+        best, p = entropies[:, :-1].argmin(1), _posterior(model, entropies)
+        for row, i in enumerate(some):
+            pred[i], score[i], bits[i] = model.langs[best[row]], float(p[row, best[row]]), float(entropies[row, best[row]])
+            rejected[i] = bits[i] > model.limit
+    return pred, score, bits, rejected
+
+
 def identify(docs: DataFrame, **params) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits (per character) and rejected of every document."""
     model = fit(docs, **params)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64()), ("rejected", pa.bool_())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(2).to_pylist()
-        n = len(texts)
-        pred, score, bits, rejected = ["und"] * n, [0.0] * n, [None] * n, [True] * n
-        some = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model else []
-        if some:
-            entropies = model.entropies([texts[i] for i in some])
-            best, p = entropies[:, :-1].argmin(1), _posterior(model, entropies)
-            for row, i in enumerate(some):
-                pred[i], score[i], bits[i] = model.langs[best[row]], float(p[row, best[row]]), float(entropies[row, best[row]])
-                rejected[i] = bits[i] > model.limit
-        return arrays(schema, batch.column(0), batch.column(1), pred, score, bits, rejected)
+        return arrays(schema, batch.column(0), batch.column(1), *judged(batch.column(2).to_pylist(), model))
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), F.col("text"))
     return map_arrow(picked, run, "doc_id long, held_out boolean, lang_pred string, score double, bits double, rejected boolean")
+
+
+def keep(docs: DataFrame, **params) -> DataFrame:
+    """The rows of docs, all columns, that identify() doesn't reject (all, where there was nothing to learn from)."""
+    model = fit(docs, **params)
+    if model is None:
+        return docs
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rejected = judged(batch.column(batch.schema.get_field_index("text")).to_pylist(), model)[3]
+        return batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)

@@ -260,3 +260,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3) -> D
     out = table.select("doc_id", "n_shingles", "hi", "lo").join(owners, ["hi", "lo"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep(docs: DataFrame, **params) -> DataFrame:
+    """The rows of docs, all columns, without those that groups() doesn't keep: one document of each group stays."""
+    dropped = groups(docs, **params).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
