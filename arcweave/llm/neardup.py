@@ -12,7 +12,7 @@ Buckets of more than one representative give candidate pairs:
   1. each representative with one leader of its buckets (a star, never all pairs of a bucket);
   2. the stars of other, hashed leaders, for buckets that still hold several components;
   3. at last the pairs of different components within a bucket, each only in
-     the first bucket it shares, and only if their rarest shingles overlap.
+     the first bucket it shares, and only if their rarest shingles overlap enough.
 A pair whose estimate is more than five standard deviations below the threshold
 is dropped; the others are confirmed on the full sets.  A pair that shares no
 bucket is lost with probability (1 - 0.8^4)^32 < 1e-7 at similarity 0.8.
@@ -152,11 +152,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame:
-    """doc_id, probe and index: each set's rarest hashes, of which two sets above the threshold share one.
+    """doc_id and rare: the first n - t n + 1 of each set's n hashes, rarest first.
 
     The order is the same for all sets: by the count of the hash's cell (a table
-    of fixed size), then by hash.  Of n hashes, the larger set of a pair needs
-    the first n - t n + 1 and the smaller one n - 2 t n / (1 + t) + 1.
+    of fixed size), then by hash.
     """
     cell = np.uint64(64 - cells.bit_length() + 1)
     counted = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
@@ -173,19 +172,18 @@ def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame
     table = np.zeros(cells, np.int64)
     table[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     shared = sets.sparkSession.sparkContext.broadcast(table)
-    schema = pa.schema([("doc_id", pa.int64()), ("probe", pa.list_(pa.int64())), ("index", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        probe, index = [], []
+        rare = []
         for x in batch.column(1).to_pylist():
             h = np.frombuffer(x, np.uint64)
             h = h[np.lexsort((h, shared.value[(h >> cell).astype(np.int64)]))].view(np.int64)
             n = len(h)
-            probe.append(h[: n - -(-percent * n // 100) + 1])
-            index.append(h[: n - -(-2 * percent * n // (100 + percent)) + 1])
-        return arrays(schema, batch.column(0), probe, index)
+            rare.append(h[: n - -(-percent * n // 100) + 1])
+        return arrays(schema, batch.column(0), rare)
 
-    return map_arrow(sets, run, "doc_id long, probe array<long>, index array<long>")
+    return map_arrow(sets, run, "doc_id long, rare array<long>")
 
 
 def last_pairs(left: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, low: float) -> DataFrame:
@@ -194,17 +192,20 @@ def last_pairs(left: DataFrame, reps: DataFrame, sets: DataFrame, percent: int,
     rare = rare_first(sets.join(open_.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), percent).withColumnRenamed("doc_id", "rep")
     facts = written(reps.select("rep", "n_shingles", "sketch", "bands").join(rare, "rep"), "facts")
     rows = left.select("bucket", "rep", "comp").join(facts, "rep")
-    a = rows.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "probe")))
-    b = rows.select(F.col("bucket").alias("b_bucket"), *(F.col(c).alias(f"b_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "index")))
+    a = rows.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "rare")))
+    b = rows.select(F.col("bucket").alias("b_bucket"), *(F.col(c).alias(f"b_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "rare")))
     larger = F.struct("a_n_shingles", "a_rep") > F.struct("b_n_shingles", "b_rep")
     sized = (F.col("a_comp") != F.col("b_comp")) & (100 * F.col("b_n_shingles") >= percent * F.col("a_n_shingles"))
-    alike = (estimate(F.col("a_sketch"), F.col("b_sketch")) >= low) & F.arrays_overlap("a_probe", "b_index")
+    # what two sets share beyond the common part of their rarest is at most what either leaves over
+    rest = F.greatest(F.col("a_n_shingles") - F.size("a_rare"), F.col("b_n_shingles") - F.size("b_rare"))
+    needed = percent * (F.col("a_n_shingles") + F.col("b_n_shingles")) / (100.0 + percent) - rest - 1e-6
+    alike = (estimate(F.col("a_sketch"), F.col("b_sketch")) >= low) & (F.size(F.array_intersect("a_rare", "b_rare")) >= needed)
     common = F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     pairs = a.join(b, (F.col("bucket") == F.col("b_bucket")) & larger & sized & alike & (F.get(common, F.lit(0)) == F.col("bucket")))
     return pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     low = percent / 100 - 5 * 0.03
     table = written(signed(docs, k), "signed")
