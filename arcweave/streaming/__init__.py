@@ -1,0 +1 @@
+"""Nothing here: graphs and texts are bounded tables."""
