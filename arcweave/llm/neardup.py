@@ -152,7 +152,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame:
-    """doc_id and rare: the first n - t n + 1 of each set's n hashes, rarest first.
+    """doc_id, rare: the first n - t n + 1 of each set's n hashes, rarest first; marks: a bit of 512 for each; hidden: how many share a bit.
 
     The order is the same for all sets: by the count of the hash's cell (a table
     of fixed size), then by hash.
@@ -172,18 +172,22 @@ def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame
     table = np.zeros(cells, np.int64)
     table[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     shared = sets.sparkSession.sparkContext.broadcast(table)
-    schema = pa.schema([("doc_id", pa.int64()), ("rare", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("rare", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("hidden", pa.int32())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rare = []
+        rare, marks, hidden = [], [], []
         for x in batch.column(1).to_pylist():
             h = np.frombuffer(x, np.uint64)
             h = h[np.lexsort((h, shared.value[(h >> cell).astype(np.int64)]))].view(np.int64)
             n = len(h)
             rare.append(h[: n - -(-percent * n // 100) + 1])
-        return arrays(schema, batch.column(0), rare)
+            bits = np.unique(rare[-1] & 511)
+            marks.append(np.bitwise_or.reduceat(np.append(np.uint64(1) << (bits & 63).astype(np.uint64), np.uint64(0)), np.searchsorted(bits, np.arange(8) * 64)) if len(bits) else np.zeros(8, np.uint64))
+            marks[-1] = np.where(np.bincount(bits >> 6, minlength=8) > 0, marks[-1], 0).astype(np.uint64).view(np.int64)
+            hidden.append(len(rare[-1]) - len(bits))
+        return arrays(schema, batch.column(0), rare, marks, hidden)
 
-    return map_arrow(sets, run, "doc_id long, rare array<long>")
+    return map_arrow(sets, run, "doc_id long, rare array<long>, marks array<long>, hidden int")
 
 
 def last_pairs(left: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, low: float) -> DataFrame:
@@ -192,14 +196,15 @@ def last_pairs(left: DataFrame, reps: DataFrame, sets: DataFrame, percent: int,
     rare = rare_first(sets.join(open_.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), percent).withColumnRenamed("doc_id", "rep")
     facts = written(reps.select("rep", "n_shingles", "sketch", "bands").join(rare, "rep"), "facts")
     rows = left.select("bucket", "rep", "comp").join(facts, "rep")
-    a = rows.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "rare")))
-    b = rows.select(F.col("bucket").alias("b_bucket"), *(F.col(c).alias(f"b_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "rare")))
+    a = rows.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "rare", "marks", "hidden")))
+    b = rows.select(F.col("bucket").alias("b_bucket"), *(F.col(c).alias(f"b_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "rare", "marks", "hidden")))
     larger = F.struct("a_n_shingles", "a_rep") > F.struct("b_n_shingles", "b_rep")
     sized = (F.col("a_comp") != F.col("b_comp")) & (100 * F.col("b_n_shingles") >= percent * F.col("a_n_shingles"))
     # what two sets share beyond the common part of their rarest is at most what either leaves over
     rest = F.greatest(F.col("a_n_shingles") - F.size("a_rare"), F.col("b_n_shingles") - F.size("b_rare"))
     needed = percent * (F.col("a_n_shingles") + F.col("b_n_shingles")) / (100.0 + percent) - rest - 1e-6
-    alike = (estimate(F.col("a_sketch"), F.col("b_sketch")) >= low) & (F.size(F.array_intersect("a_rare", "b_rare")) >= needed)
+    marked = F.col("a_hidden") + sum((F.bit_count(F.col("a_marks")[i].bitwiseAND(F.col("b_marks")[i])) for i in range(8)), F.lit(0))  # no fewer than they share
+    alike = (estimate(F.col("a_sketch"), F.col("b_sketch")) >= low) & (marked >= needed) & (F.size(F.array_intersect("a_rare", "b_rare")) >= needed)
     common = F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     pairs = a.join(b, (F.col("bucket") == F.col("b_bucket")) & larger & sized & alike & (F.get(common, F.lit(0)) == F.col("bucket")))
     return pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
