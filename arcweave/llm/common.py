@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave.functions.session import shared_path, written  # noqa: F401
+
 #: Bytes of text that a Python function holds at a time; larger Arrow batches are cut between rows.
 SLICE_BYTES = 8 << 20
 
@@ -32,31 +31,6 @@ def fold(id_col: Column, mod: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(mod)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or, where it is unset, a temporary one (one machine, as in tests)."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), "arcweave-shared")
-    return at.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table in the shared folder: cuts lineage, survives lost executors, has known sizes."""
-    path = shared_path(df.sparkSession, name)
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut between rows so that each holds about `most` bytes (a longer single row stays whole)."""
     for b in batches:
