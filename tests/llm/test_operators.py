@@ -400,3 +400,10 @@ def test_pipeline(spark, sf, docs):
         assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < kept.count() <= n
         n = kept.count()
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_against_sql(spark, sf, name):
+    from compare import connection, same
+
+    assert not same(spark, connection(sf), sf, queries.QUERIES[name], queries.ORACLE_SQL[name])
