@@ -48,14 +48,20 @@ class WordLevel:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
             self.stops[i] = token.endswith("</w>") and token[:-4] != "" and set(token[:-4]) <= set(".!?")
-        self.words = WordIds(self.tokenizer)
+        self.words = WordIds(self.tokenizer, 900_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.words
         new = known.make_room(split)
         plain = {w for w in new if w.isascii() and w.isalpha()}
-        parts = {w: m.groups() for w in new - plain if (m := self.LETTERS.fullmatch(w))}
+        parts = {}
+        for w in new - plain:
+            core = w.rstrip(".,!?")
+            if core.isascii() and core.isalpha():
+                parts[w] = core, w[len(core) :]
+            elif m := self.LETTERS.fullmatch(w):
+                parts[w] = m.groups()
         letters = list(plain | {a for a, _ in parts.values() if a not in known})
         if letters:
             ids = encoded(self.tokenizer, " ".join(letters))
@@ -86,13 +92,15 @@ def cut_places(stops: list[np.ndarray], lengths: list[int]) -> tuple[np.ndarray,
         if len(soft) > 1:
             soft = soft[np.append(True, np.diff(soft // NEAR) > 0)]
         edges = np.concatenate([[0], soft, [n]])
-        gaps = np.flatnonzero(np.diff(edges) > HARD_STEP)
-        hard = [np.arange(edges[g] + HARD_STEP, edges[g + 1], HARD_STEP) for g in gaps]
-        places = np.concatenate([soft, [n], *hard])
-        penalty = np.concatenate([np.full(len(soft), SENTENCE), [0], *(np.full(len(h), HARD) for h in hard)])
-        order = np.argsort(places, kind="stable")
-        at.append(base + places[order])
-        cost.append(penalty[order])
+        more = (np.diff(edges) - 1) // HARD_STEP + 1  # places in each gap: its end, and before that every HARD_STEP
+        last = np.cumsum(more) - 1
+        places = np.repeat(edges[:-1], more) + (np.arange(last[-1] + 1) - np.repeat(last - more + 1, more) + 1) * HARD_STEP
+        places[last] = edges[1:]
+        penalty = np.full(len(places), HARD, np.int64)
+        penalty[last] = SENTENCE
+        penalty[-1] = 0
+        at.append(base + places)
+        cost.append(penalty)
         base += n
     return np.concatenate(at), np.concatenate(cost).astype(np.int64)
 
