@@ -85,7 +85,7 @@ class Model:
     temperature: float = 1.0
     limit: float = np.inf
 
-    def entropies(self, texts: list[str], most: int = 1 << 20) -> np.ndarray:
+    def entropies(self, texts: list[str], most: int = 1 << 19) -> np.ndarray:
         """Bits per character of each text by language; the last column holds the characters."""
         out, start, held = [], 0, 0
         for i, t in enumerate(texts):

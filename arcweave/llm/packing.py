@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from arcweave.llm.bpe import WordIds, encoded, load
-from arcweave.llm.common import id_text, slices
+from arcweave.llm.common import id_text, release, slices
 
 SENTENCE, HARD, HARD_STEP, NEAR = 4, 16, 16, 12
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -48,7 +48,7 @@ class WordLevel:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
             self.stops[i] = token.endswith("</w>") and token[:-4] != "" and set(token[:-4]) <= set(".!?")
-        self.words = WordIds(self.tokenizer, 900_000)
+        self.words = WordIds(self.tokenizer, 400_000)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -201,5 +201,6 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end: int =
         packer.flush(True)
         if packer.rows:
             yield emit(packer)
+        release()
 
     return id_text(docs).mapInArrow(run, SCHEMA)
