@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_with(df: DataFrame, name: str, flag: str) -> tuple[DataFrame, int]:
+    """written(), and how many of its rows have the flag: counted while they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.when(F.col(flag), 1)).alias("n")), name)
+    return table, seen.get["n"]
+
+
 def missing(df: DataFrame) -> bool:
     """Whether df has no rows; reads one at most."""
     return not df.limit(1).count()

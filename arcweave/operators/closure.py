@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.functions.semiring import Semiring, kind_of
-from arcweave.functions.session import missing, written
+from arcweave.functions.session import missing, written, written_with
 from arcweave.operators.graph import links
 
 
@@ -45,13 +45,13 @@ def relax(edges: DataFrame, seeds: DataFrame, semiring: Semiring, banned: DataFr
         better = F.col("new_cost").isNotNull() & (F.col("cost").isNull() | (F.col("new_cost") < F.col("cost")))
         out = [F.when(better, F.col("new_cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.lit(hops)).otherwise(F.col("hops")).alias("hops")]
         out += [F.when(better, F.col("new_path")).otherwise(F.col("path")).alias("path")] if paths else []
-        state = written(merged.select("key", "node", *out, better.alias("fresh")), "state")
-        front = state.where("fresh")
+        state, changed = written_with(merged.select("key", "node", *out, better.alias("fresh")), "state", "fresh")
+        if not changed or hops == max_hops:
+            return state.drop("fresh")
         if targets is not None:
             worst = targets.join(state.select("key", "node", "cost"), ["key", "node"], "left").groupBy("key").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("worst"))
-            front = front.join(worst, "key").where(F.col("cost") < F.col("worst"))
-        if hops == max_hops or missing(front):
-            return state.drop("fresh")
+            if missing(state.where("fresh").join(worst, "key").where(F.col("cost") < F.col("worst"))):
+                return state.drop("fresh")
 
 
 def closure(edges: DataFrame, sources: DataFrame, kind: str = "ultrametric", paths: bool = False) -> DataFrame:

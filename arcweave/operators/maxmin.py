@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.functions.session import missing, written
+from arcweave.functions.session import written, written_with
 from arcweave.operators.closure import in_range
 
 
@@ -38,9 +38,9 @@ def fixpoint(edges: DataFrame, max_rounds: int = 1000, dump: str | None = None)
         risen = product(front, state).union(product(state, front)).groupBy("src", "dst").agg(F.max("weight").alias("new"))
         merged = state.drop("fresh").join(risen, ["src", "dst"], "full")
         better = F.col("new").isNotNull() & (F.col("weight").isNull() | (F.col("new") > F.col("weight")))
-        state = written(merged.select("src", "dst", F.when(better, F.col("new")).otherwise(F.col("weight")).alias("weight"), better.alias("fresh")), "state")
+        state, changed = written_with(merged.select("src", "dst", F.when(better, F.col("new")).otherwise(F.col("weight")).alias("weight"), better.alias("fresh")), "state", "fresh")
         if dump:
             state.drop("fresh").write.mode("overwrite").parquet(f"{dump}/closure_{turn}")
-        if missing(state.where("fresh")):
+        if not changed:
             break
     return state.drop("fresh")
