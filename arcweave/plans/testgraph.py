@@ -27,11 +27,18 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplier.union(customer).union(arcs(table(spark, sf_dir, "nation"), node("nation", "n_nationkey"), "inRegion", node("region", "n_regionkey")))
 
 
-def supply(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
-    """Parts up to a key with their suppliers, those in nations in regions."""
-    sold = table(spark, sf_dir, "lineitem").where(F.col("l_partkey") <= parts)
-    near = table(spark, sf_dir, "supplier").join(sold.select(F.col("l_suppkey").alias("s_suppkey")).distinct(), "s_suppkey", "left_semi")
-    first = arcs(sold, node("part", "l_partkey"), "soldBy", node("supplier", "l_suppkey")).distinct()
+def sold(spark: SparkSession, sf_dir: str, parts: int | None) -> DataFrame:
+    """Lineitem rows of the parts up to a key; None: all."""
+    rows = table(spark, sf_dir, "lineitem")
+    return rows if parts is None else rows.where(F.col("l_partkey") <= parts)
+
+
+def supply(spark: SparkSession, sf_dir: str, parts: int | None) -> DataFrame:
+    """Parts up to a key with their suppliers, those in nations in regions; None: all parts and all suppliers."""
+    rows, near = sold(spark, sf_dir, parts), table(spark, sf_dir, "supplier")
+    if parts is not None:
+        near = near.join(rows.select(F.col("l_suppkey").alias("s_suppkey")).distinct(), "s_suppkey", "left_semi")
+    first = arcs(rows, node("part", "l_partkey"), "soldBy", node("supplier", "l_suppkey")).distinct()
     second = arcs(near, node("supplier", "s_suppkey"), "inNation", node("nation", "s_nationkey"))
     return first.union(second).union(arcs(table(spark, sf_dir, "nation"), node("nation", "n_nationkey"), "inRegion", node("region", "n_regionkey")))
 
@@ -56,6 +63,6 @@ def counted(triples: DataFrame) -> DataFrame:
     return graph.edges_of(triples, "subject", "object", None)
 
 
-def proximity(spark: SparkSession, sf_dir: str, parts: int, undirected: bool = True) -> DataFrame:
+def proximity(spark: SparkSession, sf_dir: str, parts: int | None, undirected: bool = True) -> DataFrame:
     """The supply graph with degree weights."""
     return graph.weighted(plain(supply(spark, sf_dir, parts)), "degree", undirected)

@@ -189,3 +189,51 @@ def con(sf):
 @pytest.mark.parametrize("name", CHEAP)
 def test_catalogue(spark, con, sf, name):
     assert not same(spark, con, sf, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name])
+
+
+def test_whole_supply_graph(spark, con, sf):
+    """No part key, supplier or arc is left out, and the queries without SQL agree with brute force over all of them."""
+    keys = con.execute("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem").fetchall()
+    placed = con.execute("SELECT s_suppkey, s_nationkey FROM supplier").fetchall()
+    nations = con.execute("SELECT n_nationkey, n_regionkey FROM nation").fetchall()
+    arcs = {(f"part:{p}", f"supplier:{s}") for p, s in keys} | {(f"supplier:{s}", f"nation:{n}") for s, n in placed} | {(f"nation:{n}", f"region:{r}") for n, r in nations}
+    arcs |= {(b, a) for a, b in arcs}
+    found = catalogue.QUERIES["weighted_degree_undirected_whole"](spark, sf).collect()
+    assert {(r.src, r.dst) for r in found} == arcs
+    degree = {}
+    for _, b in arcs:
+        degree[b] = degree.get(b, 0) + 1
+    assert all(r.weight == 1 / (1 + degree[r.dst]) for r in found)
+
+
+@pytest.mark.parametrize("kind", ["ultrametric", "metric"])
+def test_whole_all_pairs(spark, sf, kind):
+    edges = [(r.src, r.dst, r.weight) for r in catalogue.QUERIES["weighted_degree_undirected_whole"](spark, sf).collect()]
+    out, nodes = {}, sorted({a for a, _, _ in edges})
+    for a, b, w in edges:
+        out.setdefault(a, []).append((b, w))
+    want = {}
+    for s in nodes:
+        best, heap = {}, [(-1.0, s)]
+        while heap:
+            p, v = heapq.heappop(heap)
+            if v not in best:
+                best[v] = -p
+                for b, w in out[v]:
+                    if b not in best:
+                        heapq.heappush(heap, (-min(-p, w) if kind == "ultrametric" else -1 / (1 / -p - 1 + 1 / w), b))
+        want |= {(s, t): p for t, p in best.items()}
+    run = lambda name: catalogue.QUERIES[f"{name}_{kind}_whole"](spark, sf).collect()
+    found = {(r.src, r.dst): r.prox for r in run("closure_ap")}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    assert {(r.src, r.dst) for r in run("backbone")} == {(a, b) for a, b, w in edges if abs(w - want[a, b]) <= 1e-8 + 1e-5 * want[a, b]}
+    direct, near = {(a, b) for a, b, _ in edges} | {(s, s) for s in nodes}, {}
+    for a, b, _ in edges:
+        near.setdefault(b, []).append(a)
+    found = {(r.src, r.dst): r.value for r in run("epclosure")}
+    assert found.keys() == want.keys()
+    assert all(abs(v - (1 if k in direct else max(want[k[0], u] for u in near[k[1]]))) < 1e-9 for k, v in found.items())
+    if kind == "ultrametric":
+        found = {(r.src, r.dst): r.weight for r in catalogue.QUERIES["maxmin_closure_whole"](spark, sf).collect()}
+        cycle = {s: max(min(w, want[b, s]) for b, w in out[s]) for s in nodes}
+        assert found == {k: cycle[k[0]] if k[0] == k[1] else v for k, v in want.items()}
