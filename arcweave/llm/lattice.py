@@ -6,9 +6,11 @@ recursion in log space over the word's characters.  Characters that no piece
 covers are spelt in bytes.  A text's score adds up its words and one end, in
 log10.  The pieces' probabilities start from the vocabulary's order of scores
 and are fitted to the training words by a round of expectation-maximisation
-(forward-backward over the same lattice), with one added to every count.  A word
-of the training tokens has one more edge, over all of it: its count less a
-discount, as a share of all words; what the discounts leave is the lattice's.
+(forward-backward over the same lattice), with one added to every count: the
+vocabulary has no unigram scores, only merge ranks.  `score` is the lattice's
+alone.  In `mixed_score` a word of the training tokens has one more edge, over
+all of it: its count less a discount, as a share of all words; what the
+discounts leave is the lattice's.
 
 Counting: each task counts the words of its documents, and one aggregation over
 words gives the training counts; only distinct words are scored on the lattice.
@@ -188,7 +190,7 @@ def counted(docs: DataFrame, most: int = 400_000) -> DataFrame:
 
 
 def score(docs: DataFrame, path: str | None = None, fold_mod: int = 7, held: int = 2, heavy_share: int = 400_000, discount: float = 0.75) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and mixed_score of every document."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("held_out", F.coalesce(fold(F.col("doc_id"), fold_mod) == held, F.lit(False))).withColumn("learn", F.col("doc_id").isNotNull() & ~F.col("held_out"))
     counts = written(counted(base), "counts")
@@ -199,29 +201,30 @@ def score(docs: DataFrame, path: str | None = None, fold_mod: int = 7, held: int
     if words:
         spare = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).agg(F.sum(F.least("c", F.lit(discount)))).first()[0] / words
     log_end, log_word = math.log10((end + 1) / (n + 2)), math.log10((words + 1) / (n + 2))
-    scored = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("lp", pa.float64())])
+    scored = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("lp", pa.float64()), ("mix", pa.float64())])
 
     def on_lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1 << 19):
             found = bytes_list(b, "word")
             lp = lattice.score(found) / math.log(10)
+            mix = lp
             if words:
                 own = np.maximum(np.asarray(b.column(1), float) - discount, 0) / words
-                lp = np.where(own > 0, np.log10(own + spare * 10.0**lp), math.log10(spare) + lp)
-            lp += log_word
-            lp[[i for i, w in enumerate(found) if w == END]] = log_end
-            yield arrays(scored, b.column(0), b.column(1), lp)
-
-    table = written(counts.select("word", "c").mapInArrow(on_lattice, "word binary, c long, lp double"), "scored")
-    heavy = {bytes(r.word): (r.c, r.lp) for r in table.where(F.col("c") * heavy_share >= n).where("c > 0").collect()}
-    shared = docs.sparkSession.sparkContext.broadcast({w: (i, c) for i, (w, (c, _)) in enumerate(heavy.items())} | {None: np.array([[c, lp] for c, lp in heavy.values()]).reshape(-1, 2)})
+                mix = np.where(own > 0, np.log10(own + spare * 10.0**lp), math.log10(spare) + lp)
+            both = np.array([lp, mix]) + log_word
+            both[:, [i for i, w in enumerate(found) if w == END]] = log_end
+            yield arrays(scored, b.column(0), b.column(1), *both)
+
+    table = written(counts.select("word", "c").mapInArrow(on_lattice, "word binary, c long, lp double, mix double"), "scored")
+    heavy = {bytes(r.word): (r.c, r.lp, r.mix) for r in table.where(F.col("c") * heavy_share >= n).where("c > 0").collect()}
+    shared = docs.sparkSession.sparkContext.broadcast({w: (i, c) for i, (w, (c, *_)) in enumerate(heavy.items())} | {None: np.array(list(heavy.values()), float).reshape(-1, 3)})
     smooth = math.log10(n + v + 1)
-    parts = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64()), ("word", pa.binary()), ("k", pa.int64())])
+    parts = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lp", pa.float64()), ("mix", pa.float64()), ("word", pa.binary()), ("k", pa.int64())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each document one row with the sums over its heavy words, and one for each other word."""
         known = shared.value
-        values = np.column_stack([np.log10(known[None][:, 0] + 1), known[None][:, 1]]) if len(known[None]) else np.zeros((0, 2))
+        values = np.column_stack([np.log10(known[None][:, 0] + 1), known[None][:, 1:]]) if len(known[None]) else np.zeros((0, 3))
         for b in slices(batches):
             out: list[list] = [[] for _ in parts]
             for row, doc, held_out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), bytes_list(b, "text"), strict=True):
@@ -234,22 +237,23 @@ def score(docs: DataFrame, path: str | None = None, fold_mod: int = 7, held: int
                         times.append(k)
                     else:
                         rest.append((w, k))
-                sums = np.array(times, float) @ values[at] if at else np.zeros(2)
+                sums = np.array(times, float) @ values[at] if at else np.zeros(3)
                 more = len(rest)
                 out[0] += [row] * (more + 1)
-                for column, first in zip(out[1:7], (doc, held_out, sum(bag.values()), sum(times), sums[0], sums[1]), strict=True):
+                for column, first in zip(out[1:8], (doc, held_out, sum(bag.values()), sum(times), *sums), strict=True):
                     column.append(first)
                     column += [None] * more
-                out[7] += [b" %d" % row, *(w for w, _ in rest)]  # never a word: the document's own row
-                out[8] += [0, *(k for _, k in rest)]
+                out[8] += [b" %d" % row, *(w for w, _ in rest)]  # never a word: the document's own row
+                out[9] += [0, *(k for _, k in rest)]
             yield arrays(parts, *out)
 
-    rows = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(split, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double, word binary, k long")
-    joined = rows.join(table.select("word", "c", F.col("lp").alias("word_lp")), "word", "left")
+    rows = base.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(split, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, lp double, mix double, word binary, k long")
+    joined = rows.join(table.select("word", "c", F.col("lp").alias("word_lp"), F.col("mix").alias("word_mix")), "word", "left")
     k, c = F.col("k"), F.coalesce("c", F.lit(0))
     summed = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
         F.sum(F.coalesce("n_known", F.lit(0)) + F.when(c > 0, k).otherwise(0)).alias("n_known"),
         F.sum(F.coalesce("base", F.lit(0.0)) + k * F.log10(c + 1.0)).alias("base"), F.sum(F.coalesce("lp", F.lit(0.0)) + k * F.coalesce("word_lp", F.lit(0.0))).alias("lp"),
+        F.sum(F.coalesce("mix", F.lit(0.0)) + k * F.coalesce("word_mix", F.lit(0.0))).alias("mix"),
     )
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(smooth)).alias("base_score"), F.col("lp").alias("score"))
+    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(smooth)).alias("base_score"), F.col("lp").alias("score"), F.col("mix").alias("mixed_score"))

@@ -180,6 +180,26 @@ def test_lattice(docs, rows, empty):
     assert lattice.score(empty).count() == 0
 
 
+def test_lattice_score_is_the_lattice_alone(spark, docs):
+    some = docs.where("doc_id IS NOT NULL").select("doc_id", "text").limit(300).cache()
+    rows = some.collect()
+    bags = {r.doc_id: (r.text or "").encode().lower().split() for r in rows}
+    c, ends = Counter(), 0
+    for r in rows:
+        if remainder(r.doc_id, 7) != 2:
+            c.update(bags[r.doc_id])
+            ends += 1
+    words = sum(c.values())
+    model = lattice.fitted(spark.createDataFrame([(bytearray(w), k) for w, k in c.items()], "word binary, c long"))
+    known = sorted({w for b in bags.values() for w in b})
+    lp = dict(zip(known, model.score(known) / math.log(10) + math.log10((words + 1) / (words + ends + 2)), strict=True))
+    end = math.log10((ends + 1) / (words + ends + 2))
+    found = lattice.score(some).collect()
+    for r in found:
+        assert math.isclose(r.score, sum(lp[w] for w in bags[r.doc_id]) + end, rel_tol=1e-9)
+    assert sum(r.mixed_score for r in found) > sum(r.score for r in found)
+
+
 def test_lattice_sums_all_segmentations():
     pieces, logp = lattice.vocabulary()
     at, model = {p: i for i, p in enumerate(pieces)}, lattice.Lattice(pieces, logp)
