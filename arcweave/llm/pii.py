@@ -38,7 +38,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?i)(?<=[=:\"' ])(?<=(?:password|passwd|pwd|token|secret|api_key|apikey|key)[ ]?[=:][ ]?[\"']?)[^\s\"'=:]{6,200}+|(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,40}+[0-9])[A-Za-z0-9_/+-]{16,200}+",
+    "secret": r"(?i)(?<=[=:\"' ])(?<=(?:password|passwd|pwd|token|secret|api_key|apikey|key)[ ]?[=:][ ]?[\"']?)[^\s\"'=:]{6,}+|(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+",
     "id": r"(?<![A-Za-z0-9.,])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+[A-Z0-9]{0,3}+|[0-9]{2,5}+(?:[-/. ][0-9]{2,5}){1,4}+)(?![A-Za-z0-9])",
 }
 #: A cheap test that every text with a match passes.

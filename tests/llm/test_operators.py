@@ -61,6 +61,24 @@ def test_pii(spark, docs, rows, empty):
     assert all(clean[r.doc_id].text == r.text for r in rows if r.doc_id is not None and not any(r.doc_id == f.doc_id and f.spans for f in found))
 
 
+def placed(spark, texts):
+    """Each text's spans of the open kinds, as (kind, start, end)."""
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in found}
+    return [[(k, int(a), int(b)) for k, a, b in spans[i] if k in ("secret", "id")] for i in range(len(texts))]
+
+
+def test_long_secrets_are_whole(spark):
+    long = hashlib.sha512(b"a").hexdigest() * 3
+    late = "abcdefghij" * 4 + "k" + "0123456789" * 3
+    texts = [f"see {long} end", f'token = "{long}" end']
+    assert placed(spark, texts) == [[("secret", t.index(long), t.index(long) + len(long))] for t in texts]
+    redacted = pii.redact(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert all(long[200:] not in r.text for r in redacted)
+    hits = spark.createDataFrame([(f"see {late} end",)], "text string").select(pii.matches(F.col("text"), "secret").alias("m")).first().m
+    assert [(m.start, m.end) for m in hits] == [(4, 4 + len(late))]
+
+
 # packing and tokens
 
 
