@@ -6,7 +6,7 @@ open kinds of high recall, `secret` (long tokens with a digit, values after
 words such as password) and `id` (groups of digits).  Each open candidate gets
 features of its format and of the text before it; gradient-boosted trees, as
 nested CASE expressions, give its log-odds, and the kind's calibrated threshold
-decides.  An accepted candidate that overlaps a base span is not repeated.
+decides.  A candidate that lies wholly inside a base span is not repeated.
 
 The trees are fitted once per driver process on a generated table of about a
 thousand labelled candidates, whose features come from the same expressions.
@@ -177,7 +177,7 @@ def spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
         def accept(m: Column) -> Column:
             before = F.substring(F.col(text), F.greatest(m["start"] - 31, F.lit(1)), F.least(m["start"], F.lit(32)))
-            clear = ~F.exists(F.col("base"), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+            clear = ~F.exists(F.col("base"), lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))
             return clear & (F.length(m["hit"]) >= 6) & (trees.sql_margin(features(m["hit"], before)) >= limit)
 
         return F.filter(f"_{kind}", accept)

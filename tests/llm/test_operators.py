@@ -79,6 +79,15 @@ def test_long_secrets_are_whole(spark):
     assert [(m.start, m.end) for m in hits] == [(4, 4 + len(late))]
 
 
+def test_a_secret_around_a_card_is_kept(spark):
+    secret = "deadbeefc0ffee" + "4111111111111111" + "bead12fade34cafe"
+    text = f'token = "{secret}" end'
+    at = text.index(secret)
+    found = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert found.n_card == 1 and f"secret:{at}:{at + len(secret)}" in found.spans.split(",")
+    assert pii.redact(spark.createDataFrame([(text,)], "text string")).first().text == 'token = "[SECRET]" end'
+
+
 # packing and tokens
 
 
