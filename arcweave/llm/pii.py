@@ -39,7 +39,7 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "secret": r"(?i)(?<=[=:\"' ])(?<=(?:password|passwd|pwd|token|secret|api_key|apikey|key)[ ]?[=:][ ]?[\"']?)[^\s\"'=:]{6,}+|(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{16,}+",
-    "id": r"(?<![A-Za-z0-9.,])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+[A-Z0-9]{0,3}+|[0-9]{2,5}+(?:[-/. ][0-9]{2,5}){1,4}+)(?![A-Za-z0-9])",
+    "id": r"(?<![A-Za-z0-9.,])(?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}+[A-Z0-9]{0,3}+|[0-9]{2,12}+(?![A-Za-z0-9])(?:[-/. ][0-9]{2,12}+(?![A-Za-z0-9])){0,4}+)(?![A-Za-z0-9])",
 }
 #: A cheap test that every text with a match passes.
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}|[0-9][ -][0-9]", "phone": r"\+[0-9]", "secret": r"[0-9]|[=:]", "id": r"[0-9]{2}"}
@@ -125,8 +125,8 @@ def labelled(n: int = 150) -> list[dict]:
             (pick(digits, r.randrange(16, 24)), plain), (f"{pick(lower, 9)}/{pick(lower, 8)}/{r.randrange(100)}", plain), (pick(lower, r.randrange(6, 14)), f"{plain}{r.choice(('key', 'token'))}: "),
         ]
         said = f"{plain}{r.choice(('SSN', 'IBAN', 'account', 'tel.', 'phone', 'call', 'passport'))}{r.choice((' ', ': ', ' no. '))}"
-        ids = [(f"{pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}", r.choice((plain, said))), (f"{pick(upper, 2)}{pick(digits, 2)} " + " ".join(pick(digits, 4) for _ in range(4)), r.choice((plain, said))), (f"{pick(digits, 3)}-{pick(digits, 3)}-{pick(digits, 4)}", said)]
-        other = [(f"{r.randrange(1900, 2030)}-{r.randrange(10, 99)}", plain), (f"{pick(digits, 2)}.{pick(digits, 2)}", plain), (f"{r.randrange(10, 32)}/{r.randrange(10, 13)}/{r.randrange(1900, 2030)}", plain), (f"{pick(digits, 3)} {pick(digits, 3)}", plain), (f"{pick(digits, 2)}.{pick(digits, 2)}.{pick(digits, 2)}", plain)]
+        ids = [(f"{pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}", r.choice((plain, said))), (f"{pick(upper, 2)}{pick(digits, 2)} " + " ".join(pick(digits, 4) for _ in range(4)), r.choice((plain, said))), (f"{pick(digits, 3)}-{pick(digits, 3)}-{pick(digits, 4)}", said), (pick(digits, r.randrange(7, 13)), said), (f"{pick(digits, r.randrange(3, 6))}{r.choice('-/ ')}{pick(digits, r.randrange(6, 9))}", said)]
+        other = [(f"{r.randrange(1900, 2030)}-{r.randrange(10, 99)}", plain), (f"{pick(digits, 2)}.{pick(digits, 2)}", plain), (f"{r.randrange(10, 32)}/{r.randrange(10, 13)}/{r.randrange(1900, 2030)}", plain), (f"{pick(digits, 3)} {pick(digits, 3)}", plain), (f"{pick(digits, 2)}.{pick(digits, 2)}.{pick(digits, 2)}", plain), (pick(digits, r.randrange(6, 13)), plain), (f"{pick(digits, r.randrange(2, 6))} {pick(digits, r.randrange(6, 9))}", plain)]
         for kind, y, found in (("secret", 1, secrets), ("secret", 0, harmless), ("id", 1, ids), ("id", 0, other)):
             out += [{"kind": kind, "hit": h, "before": b, "y": y} for h, b in found]
     return out

@@ -88,6 +88,11 @@ def test_a_secret_around_a_card_is_kept(spark):
     assert pii.redact(spark.createDataFrame([(text,)], "text string")).first().text == 'token = "[SECRET]" end'
 
 
+def test_numbers_of_one_group_are_scored(spark):
+    texts = ["tel. 030 1234567", "phone 5551234567", "about 1234567 pieces", "phone 5551234567 12ab"]
+    assert placed(spark, texts) == [[("id", 5, 16)], [("id", 6, 16)], [], [("id", 6, 16)]]
+
+
 # packing and tokens
 
 
