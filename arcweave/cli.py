@@ -46,13 +46,16 @@ def run_batch(spark: SparkSession, args: argparse.Namespace) -> None:
     edges = load(spark, args)
     names = args.header.split(",") if args.header else None
     ids = []
-    for path in (args.sources, args.targets):
+    for name, path in (("sources", args.sources), ("targets", args.targets)):
         asked = tables.requests(spark, path, args.separator, names)
         if "node_id" not in asked.columns:
             asked = ntriples.resolve(asked.withColumnRenamed("node_title", "uri"), tables.node_list(spark, args.uris))
         known, unknown = ntriples.unresolved(asked)
-        for row in unknown.take(20):
-            print("unknown:", row)
+        count = unknown.count()
+        if count:
+            at = f"{args.output.rstrip('/')}-unknown-{name}"
+            unknown.write.parquet(at)
+            print(f"unknown {name}: {count} rows, in {at}")
         ids.append(known)
     sources, targets = ids
     pairs = tasks.pairs_of(sources.select(F.col("node_id").alias("src")), targets.select(F.col("node_id").alias("dst")))

@@ -23,3 +23,16 @@ def test_import_backbone_linkpred_batch(spark, tmp_path):
     (tmp_path / "two").write_text("0 a\n3 d\n")
     cli.main(["confmatrix", f"{out}/adjacency", str(tmp_path / "two"), str(tmp_path / "two"), f"{out}/conf", "-u"])
     assert spark.read.csv(f"{out}/conf", header=True).count() == 2
+
+
+def test_batch_reports_every_unknown_row(spark, tmp_path, capsys):
+    spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "row long, col long, weight double").write.parquet(str(tmp_path / "g"))
+    (tmp_path / "uris").write_text("0 e:a\n1 e:b\n")
+    missing = [f"e:x{i}" for i in range(25)]
+    (tmp_path / "s").write_text("node_title\ne:a\n" + "".join(f"{m}\n" for m in missing))
+    (tmp_path / "t").write_text("node_title\ne:b\n")
+    out = str(tmp_path / "out")
+    cli.main(["batch", str(tmp_path / "g"), str(tmp_path / "s"), str(tmp_path / "t"), out, "--uris", str(tmp_path / "uris")])
+    assert sorted(r.uri for r in spark.read.parquet(f"{out}-unknown-sources").collect()) == sorted(missing)
+    assert "unknown sources: 25 rows" in capsys.readouterr().out and not (tmp_path / "out-unknown-targets").exists()
+    assert spark.read.csv(out, header=True).columns == ["src", "1"]
