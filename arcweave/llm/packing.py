@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from arcweave.llm.bpe import WordIds, encoded, load
 from arcweave.llm.common import id_text, release, slices
 
-SENTENCE, HARD, HARD_STEP, NEAR = 4, 16, 16, 12
+SENTENCE, HARD, HARD_STEP = 4, 16, 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -88,10 +88,7 @@ def cut_places(stops: list[np.ndarray], lengths: list[int]) -> tuple[np.ndarray,
     """Positions at which a sequence may end, rising from 0, and their penalties."""
     at, cost, base = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0
     for inner, n in zip(stops, lengths, strict=True):
-        soft = inner[(inner >= NEAR) & (inner <= n - NEAR)]
-        if len(soft) > 1:
-            soft = soft[np.append(True, np.diff(soft // NEAR) > 0)]
-        edges = np.concatenate([[0], soft, [n]])
+        edges = np.concatenate([[0], inner[(inner > 0) & (inner < n)], [n]])
         more = (np.diff(edges) - 1) // HARD_STEP + 1  # places in each gap: its end, and before that every HARD_STEP
         last = np.cumsum(more) - 1
         places = np.repeat(edges[:-1], more) + (np.arange(last[-1] + 1) - np.repeat(last - more + 1, more) + 1) * HARD_STEP

@@ -124,6 +124,15 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_every_sentence_end_is_a_cut_place():
+    stops = [np.array([3, 7, 9, 14, 38, 40]), np.array([], int), np.array([1, 2])]
+    at, penalty = packing.cut_places(stops, [41, 5, 3])
+    where = dict(zip(at.tolist(), penalty.tolist(), strict=True))
+    assert len(where) == len(at) and sorted(where) == at.tolist()
+    assert {p for p, c in where.items() if c == packing.SENTENCE} == {3, 7, 9, 14, 38, 40, 47, 48}
+    assert {p for p, c in where.items() if c == packing.HARD} == {30} and {where[p] for p in (0, 41, 46, 49)} == {0}
+
+
 def test_best_cuts_are_optimal():
     r = np.random.Generator(np.random.PCG64(5))
     for _ in range(30):
