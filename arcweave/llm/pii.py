@@ -12,17 +12,21 @@ The trees are fitted once per driver process on a generated table of about a
 thousand labelled candidates, whose features come from the same expressions.
 
 Spans of a kind are the leftmost non-overlapping matches: the text is split at
-them, and the lengths of the pieces give the places.  Patterns are possessive
-and begin at the edge of a run, so a match takes time linear in the text.
-
-Null or empty text: no spans, the hash of no bytes.  Repeated rows and ties get
-equal results; empty table: no rows.  Other columns are kept only by redact().
+them, and the running lengths of the pieces give the places.  Patterns are
+possessive and begin at the edge of a run, running sums and maxima go by blocks,
+and no expression looks up a place by walking the whole text: time is linear in
+the text and its spans.
+
+Null or empty text: no spans, the hash of no bytes.  Texts of any length are
+read whole.  Repeated rows and ties get equal results; empty table: no rows.
+Other columns are kept, whatever their names, by redact(), and not read by find().
 """
 
 from __future__ import annotations
 
 import json
 import random
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,25 +79,67 @@ def passes(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is evaluated once, however often the body names it, also within lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, merge: Callable[[Column, Column], Column], block: int = 128, levels: int = 2) -> Column:
+    """Running results, from 0, of an associative function over an array of int.
+
+    Accumulating an array copies it at each step, so this is done within blocks
+    and over the blocks' results: linear in the array up to block ** 3 values.
+    """
+    ints = "array<int>"
+
+    def short(array: Column) -> Column:
+        start = F.struct(F.lit(0).alias("last"), F.array().cast(ints).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return let(merge(acc["last"], x), lambda y: F.struct(y.alias("last"), F.concat(acc["out"], F.array(y)).alias("out")))
+
+        return F.aggregate(array, start, step, lambda acc: acc["out"])
+
+    def long(array: Column, left: int) -> Column:
+        if left == 1:
+            return short(array)
+
+        def cut(whole: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / block).cast("int")), lambda i: short(F.slice(whole, i * block + 1, F.lit(block))))
+
+        def joined(inner: Column) -> Column:
+            totals = long(F.transform(inner, lambda b: F.element_at(b, -1)), left - 1)
+            return let(totals, lambda t: F.flatten(F.transform(inner, lambda b, i: F.when(i == 0, b).otherwise(let(F.get(t, i - 1), lambda first: F.transform(b, lambda x: merge(first, x)))))))
+
+        return let(array, lambda whole: F.when(F.size(whole) <= block, short(whole)).otherwise(let(cut(whole), joined)))
+
+    return long(values, levels)
+
+
+MATCH = "array<struct<start:int,end:int,hit:string,before:string>>"
+
+
 def matches(text: Column, kind: str) -> Column:
-    """array of (start, end, hit) of the kind's matches."""
+    """array of (start, end, hit, before) of the kind's matches; before: up to 32 characters from the match before it to this one."""
     pattern = PATTERNS[kind]
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("spans"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("spans"))
+    def placed(m: Column) -> Column:
+        hits, pieces = m["hits"], m["pieces"]
+        lengths = F.transform(hits, lambda h, i: F.length(F.get(pieces, i)) + F.length(h))
+
+        def before(i: Column) -> Column:
+            if kind in KINDS[:4]:
+                return F.lit("")
+            return F.right(F.concat(F.coalesce(F.right(F.get(hits, i - 1), F.lit(32)), F.lit("")), F.right(F.get(pieces, i), F.lit(32))), F.lit(32))
+
+        return let(running(lengths, lambda a, b: a + b), lambda ends: F.transform(hits, lambda h, i: F.struct((F.get(ends, i) - F.length(h)).alias("start"), F.get(ends, i).alias("end"), h.alias("hit"), before(i).alias("before"))))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
-    return F.when(text.rlike(HINTS[kind]), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(none)
+    found = let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("pieces")), lambda m: F.when(F.size(m["hits"]) > 0, placed(m)).otherwise(F.array().cast(MATCH)))
+    return F.when(text.rlike(HINTS[kind]), found).otherwise(F.array().cast(MATCH))
 
 
 def features(hit: Column, before: Column) -> list[Column]:
-    """The features of a candidate and of the 32 characters before it, in the order of FEATURES."""
+    """The features of a candidate and of the characters before it, in the order of FEATURES."""
     count = lambda p: F.length(F.regexp_replace(hit, p, "")).cast("double")
     flag = lambda c: c.cast("double")
     near = F.lower(before)
@@ -158,35 +204,39 @@ def fitted(spark: SparkSession) -> dict[str, tuple[gbt.Trees, float]]:
     return _FITTED
 
 
-def spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with base (the base kinds' spans) and spans (all): arrays of (start, rank, end, kind) in order."""
-    model = fitted(docs.sparkSession)
+def spans(text: Column, spark: SparkSession) -> Column:
+    """(base, spans): the base kinds' spans and all, each an array of (start, rank, end, kind) in order."""
+    model = fitted(spark)
     shape = "array<struct<start:int,rank:int,end:int,kind:string>>"
+    none = F.array().cast(shape)
 
     def plain(array: Column, rank: int) -> Column:
         return F.transform(array, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), F.lit(KINDS[rank]).alias("kind")))
 
-    out = docs
-    for rank, kind in enumerate(KINDS):
-        out = out.withColumn(f"_{kind}", matches(F.col(text), kind))
-    def checked(kind: str) -> Column:
-        return F.filter(F.col(f"_{kind}"), lambda m: passes(kind, m["hit"]))
+    def checked(array: Column, kind: str) -> Column:
+        return F.filter(array, lambda x: passes(kind, x["hit"]))
 
-    def accepted(kind: str) -> Column:
-        trees, limit = model[kind]
+    def accepted(array: Column, rank: int) -> Column:
+        """Candidates of an open kind that the trees accept."""
+        trees, limit = model[KINDS[rank]]
+        return F.filter(array, lambda m: F.when(F.length(m["hit"]) >= 6, let(F.array(*features(m["hit"], m["before"])), lambda x: trees.sql_margin([x[i] for i in range(len(FEATURES))]) >= limit)).otherwise(False))
 
-        def accept(m: Column) -> Column:
-            before = F.substring(F.col(text), F.greatest(m["start"] - 31, F.lit(1)), F.least(m["start"], F.lit(32)))
-            clear = ~F.exists(F.col("base"), lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))
-            return clear & (F.length(m["hit"]) >= 6) & (trees.sql_margin(features(m["hit"], before)) >= limit)
+    def outside(base: Column, more: Column) -> Column:
+        """Both in order, without those of more that lie wholly inside a base span: no base span that begins before ends later."""
 
-        return F.filter(f"_{kind}", accept)
+        def judged(every: Column) -> Column:
+            ends = running(F.transform(every, lambda s: F.when(s["rank"] < 4, s["end"]).otherwise(0)), F.greatest)
+            return let(ends, lambda t: F.filter(every, lambda s, i: (s["rank"] < 4) | (F.get(t, i) < s["end"])))
 
-    base = F.concat(*(plain(checked(k), i) for i, k in enumerate(KINDS[:4])))
-    out = out.withColumn("base", F.when(F.size(F.concat(*(F.col(f"_{k}") for k in KINDS[:4]))) > 0, F.array_sort(base)).otherwise(F.array().cast(shape)).cast(shape))
-    extra = [F.when(F.size(f"_{k}") > 0, plain(accepted(k), i)).otherwise(F.array().cast(shape)).cast(shape) for i, k in enumerate(KINDS[4:], 4)]
-    every = F.concat(F.col("base"), *extra)
-    return out.withColumn("spans", every).withColumn("spans", F.when(F.size("spans") > 1, F.array_sort("spans")).otherwise(F.col("spans"))).drop(*(f"_{k}" for k in KINDS))
+        return F.when(F.size(more) == 0, base).otherwise(let(F.sort_array(F.concat(base, more)), judged))
+
+    def based(m: Column) -> Column:
+        parts = [plain(checked(m[k], k), i) for i, k in enumerate(KINDS[:4])]
+        base = F.when(sum((F.size(m[k]) for k in KINDS[1:4]), F.size(m[KINDS[0]])) > 0, F.sort_array(F.concat(*parts)).cast(shape)).otherwise(none)
+        more = F.concat(*(F.when(F.size(m[k]) > 0, plain(accepted(m[k], i), i).cast(shape)).otherwise(none) for i, k in enumerate(KINDS[4:], 4)))
+        return let(F.struct(base.alias("base"), more.alias("more")), lambda b: F.struct(b["base"].alias("base"), outside(b["base"], b["more"]).alias("spans")))
+
+    return let(F.struct(*(matches(text, k).alias(k) for k in KINDS)), based)
 
 
 def digest(array: Column) -> Column:
@@ -195,7 +245,7 @@ def digest(array: Column) -> Column:
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, the count of each base kind, base_sha256, and all spans as kind:start:end of every document."""
-    found = spans(id_text(docs))
+    found = id_text(docs).select("doc_id", spans(F.col("text"), docs.sparkSession).alias("found")).select("doc_id", "found.base", "found.spans")
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -204,16 +254,34 @@ def find(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.col("spans")).alias("spans"))
 
 
+def replaced(text: Column, found: Column, block: int = 512) -> Column:
+    """text with each span replaced by its kind in brackets; of spans that overlap, the first names all.
+
+    The text is cut into blocks of characters first, as a substring far into a
+    long string is found by walking there.
+    """
+
+    def part(blocks: Column, start: Column, end: Column) -> Column:
+        """The characters from start to end (exclusive)."""
+        first, last = F.floor(start / block).cast("int"), F.floor(end / block).cast("int")
+        head = F.substring(F.coalesce(F.get(blocks, first), F.lit("")), start - first * block + 1, F.when(first == last, end - start).otherwise(block))
+        tail = F.when(first < last, F.concat(F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), F.substring(F.coalesce(F.get(blocks, last), F.lit("")), F.lit(1), end - last * block)))
+        return F.when(start < end, F.concat(head, F.coalesce(tail, F.lit("")))).otherwise("")
+
+    def joined(s: Column) -> Column:
+        def gap(x: Column, i: Column) -> Column:
+            past = F.coalesce(F.get(s["ends"], i - 1), F.lit(0))
+            return F.when(x["start"] >= past, F.concat(part(s["blocks"], past, x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+
+        return F.concat(F.array_join(F.transform(found, gap), ""), part(s["blocks"], F.element_at(s["ends"], -1), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0))
+    return let(F.struct(blocks.alias("blocks"), running(F.transform(found, lambda x: x["end"]), F.greatest).alias("ends")), joined)
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """docs, all columns kept, with each span of text replaced by its kind in brackets; of spans that overlap, the first names all."""
-    found = spans(docs.withColumn("_pii_text", F.coalesce("text", F.lit(""))).select("_pii_text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_pii_row")), "_pii_text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    text = F.col("_pii_text")
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["parts"], F.array(gap)).alias("parts"))
-
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = F.when(F.size("spans") > 0, done).otherwise(F.col("_pii_row.text"))
-    return found.select(*(clean.alias(c) if c == "text" else F.col(f"_pii_row.`{c}`").alias(c) for c in docs.columns))
+    """docs, all columns kept, with each span of text replaced by its kind in brackets; a text without spans stays as it is."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("whole"))
+    found = rows.select("row", "whole", spans(F.col("whole"), docs.sparkSession)["spans"].alias("found"))
+    clean = F.when(F.size("found") > 0, let(F.struct("whole", "found"), lambda s: replaced(s["whole"], s["found"]))).otherwise(F.col("row.text"))
+    return found.select(*(clean.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
