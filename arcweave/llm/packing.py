@@ -25,54 +25,121 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from arcweave.llm.bpe import WordIds, encoded, load
+from arcweave.llm.bpe import encoded, load
 from arcweave.llm.common import id_text, release, slices
 
 SENTENCE, HARD, HARD_STEP = 4, 16, 16
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def gathered(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs source[start : start + length], one after another."""
+    before = np.cumsum(lengths) - lengths
+    return source[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
+
+
 class WordLevel:
-    """Encoder of a BPE file with word ends, which drops white space."""
+    """Encoder of a BPE file with word ends, which drops white space.
+
+    A batch's words are told apart by Arrow; Python sees only the distinct
+    ones, and the library only those not met before.  When a batch leaves more
+    than `most` words or four times as many ids, all are forgotten.
+    """
 
     LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\sA-Za-z0-9'À-ÖØ-öø-ÿ\u0080-\U0010ffff]*)")
 
-    def __init__(self, path: str):
-        self.tokenizer = load(path)
+    def __init__(self, path: str, most: int = 600_000):
+        self.tokenizer, self.most = load(path), most
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         n = max(vocabulary.values()) + 1
         self.ends, self.stops = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
             self.stops[i] = token.endswith("</w>") and token[:-4] != "" and set(token[:-4]) <= set(".!?")
-        self.words = WordIds(self.tokenizer, 400_000)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.words
-        new = known.make_room(split)
-        plain = {w for w in new if w.isascii() and w.isalpha()}
-        parts = {}
-        for w in new - plain:
-            core = w.rstrip(".,!?")
-            if core.isascii() and core.isalpha():
-                parts[w] = core, w[len(core) :]
-            elif m := self.LETTERS.fullmatch(w):
-                parts[w] = m.groups()
-        letters = list(plain | {a for a, _ in parts.values() if a not in known})
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.size = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def remember(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The words' ids, which stand one after another."""
+        first, n = len(self.known), len(words)
+        while self.size + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + n > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.ids[self.size : self.size + len(ids)] = ids
+        self.starts[first : first + n] = self.size + np.cumsum(lengths) - lengths
+        self.lengths[first : first + n] = lengths
+        self.known.update(zip(words, range(first, first + n), strict=True))
+        self.size += len(ids)
+
+    def learn(self, new: list[str]) -> None:
+        """Remember words that aren't known yet."""
+        known = self.known
+        letters = {w: None for w in new if w.isascii() and w.isalpha()}
+        rest = [w for w in new if w not in letters]
+        parts = [(w, m[1], m[2]) for w, m in zip(rest, map(self.LETTERS.fullmatch, rest), strict=True) if m]
+        odd = [*set(rest).difference(w for w, _, _ in parts)]
+        letters |= dict.fromkeys(a for _, a, _ in parts if a not in known)
         if letters:
             ids = encoded(self.tokenizer, " ".join(letters))
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(letters):
-                data, starts = ids.astype("<u4").tobytes(), np.append(0, ends[:-1])
-                known.update((w, data[4 * a : 4 * b]) for w, a, b in zip(letters, starts.tolist(), ends.tolist(), strict=True))
-        for w, (a, b) in parts.items():
-            if b:
-                known[w] = known[a] + known[b]
-        return [b"".join(map(known.__getitem__, s)) for s in split]
+                self.remember(list(letters), ids, np.diff(ends, prepend=0))
+            else:  # the library saw other edges: one by one
+                odd += letters
+        odd += dict.fromkeys(b for _, _, b in parts if b not in known)
+        if odd:
+            found = [encoded(self.tokenizer, w) for w in odd]
+            self.remember(odd, np.concatenate(found), np.array([len(x) for x in found]))
+        parts = [p for p in parts if p[2]]
+        if parts:
+            at = np.array([known[x] for _, a, b in parts for x in (a, b)])
+            lengths = self.lengths[at]
+            self.remember([w for w, _, _ in parts], gathered(self.ids, self.starts[at], lengths), lengths.reshape(-1, 2).sum(1))
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each word's ids are remembered."""
+        coded = pc.dictionary_encode(words)
+        own, known = coded.dictionary.to_pylist(), self.known
+        new = [w for w in own if w not in known]
+        if new:
+            self.learn(new)
+        return np.fromiter(map(known.__getitem__, own), np.int64, len(own))[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after another, and where each text ends.
+
+        A stop after a letter or digit is a token run of its own, so words are
+        looked up without the stops at their end.
+        """
+        if len(self.known) > self.most or self.size > 4 * self.most:
+            self.forget()
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        words = pc.ascii_lower(split.flatten())  # not of a slice, which it reads wrongly
+        cores = pc.ascii_rtrim(words, ".,!?")
+        more = pc.subtract(pc.binary_length(words), pc.binary_length(cores)).to_numpy(zero_copy_only=False)
+        stopped = np.flatnonzero(more)
+        stopped = stopped[pc.match_substring_regex(cores.take(pa.array(stopped)), "[a-zß-öø-ÿ0-9]$").to_numpy(zero_copy_only=False)]
+        whole = np.ones(len(words), bool)
+        whole[stopped] = False
+        at = self.places(pc.if_else(pa.array(whole), words, cores))
+        ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+        if len(stopped):
+            last = np.empty(len(stopped), np.int64)
+            for n in np.unique(more[stopped]).tolist():
+                own = more[stopped] == n
+                last[own] = self.places(pc.utf8_slice_codeunits(words.take(pa.array(stopped[own])), -n, None))
+            at, ends = np.insert(at, stopped + 1, last), ends + np.searchsorted(stopped, ends)
+        lengths = self.lengths[at]
+        return gathered(self.ids, self.starts[at], lengths), np.append(0, np.cumsum(lengths))[ends]
 
 
 _LOADED: dict[str, WordLevel] = {}
@@ -84,22 +151,17 @@ def word_level(path: str) -> WordLevel:
     return _LOADED[path]
 
 
-def cut_places(stops: list[np.ndarray], lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which a sequence may end, rising from 0, and their penalties."""
-    at, cost, base = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 0
-    for inner, n in zip(stops, lengths, strict=True):
-        edges = np.concatenate([[0], inner[(inner > 0) & (inner < n)], [n]])
-        more = (np.diff(edges) - 1) // HARD_STEP + 1  # places in each gap: its end, and before that every HARD_STEP
-        last = np.cumsum(more) - 1
-        places = np.repeat(edges[:-1], more) + (np.arange(last[-1] + 1) - np.repeat(last - more + 1, more) + 1) * HARD_STEP
-        places[last] = edges[1:]
-        penalty = np.full(len(places), HARD, np.int64)
-        penalty[last] = SENTENCE
-        penalty[-1] = 0
-        at.append(base + places)
-        cost.append(penalty)
-        base += n
-    return np.concatenate(at), np.concatenate(cost).astype(np.int64)
+def cut_places(stops: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions at which a sequence may end, rising from 0, and their penalties, from those of sentence ends and of document ends."""
+    edges = np.union1d(np.append(0, stops), ends)
+    more = (np.diff(edges) - 1) // HARD_STEP + 1  # places in each gap: its end, and before that every HARD_STEP
+    last = np.cumsum(more) - 1
+    places = np.repeat(edges[:-1], more) + (np.arange(int(more.sum())) - np.repeat(last - more + 1, more) + 1) * HARD_STEP
+    places[last] = edges[1:]
+    penalty = np.full(len(places), HARD, np.int64)
+    penalty[last] = SENTENCE
+    penalty[np.searchsorted(places, ends)] = 0
+    return np.append(0, places), np.append(0, penalty)
 
 
 def best_cuts(at: np.ndarray, penalty: np.ndarray, size: int, whole: bool) -> list[int]:
@@ -150,7 +212,8 @@ class Packer:
     def flush(self, last: bool) -> None:
         if not self.docs:
             return
-        at, penalty = cut_places([s for *_, s in self.docs], [len(d[1]) // 4 for d in self.docs])
+        ends = np.cumsum([len(d[1]) // 4 for d in self.docs])
+        at, penalty = cut_places(np.concatenate([d[4] + (e - len(d[1]) // 4) for d, e in zip(self.docs, ends, strict=True)]), ends)
         cuts = best_cuts(at, penalty, self.size, last)
         if last:
             rest = cuts[-1] - (cuts[-2] if len(cuts) > 1 else 0)
@@ -190,9 +253,12 @@ def pack(docs: DataFrame, path: str | None = None, size: int = 2048, end: int =
         coder = word_level(path)
         packer = Packer(size, block, TaskContext.get().partitionId() << 32)
         for b in slices(batches):
-            for doc_id, ids in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist()), strict=True):
-                stops = np.flatnonzero(coder.stops[np.frombuffer(ids, "<u4")]) + 1
-                packer.add(doc_id, ids + ending, stops)
+            ids, ends = coder.encode(b.column(1))
+            stops = np.flatnonzero(coder.stops[ids]) + 1
+            before = np.append(0, ends[:-1])
+            within = np.searchsorted(stops, before, side="right"), np.searchsorted(stops, ends, side="right")
+            for doc_id, start, stop, low, high in zip(b.column(0).to_pylist(), before.tolist(), ends.tolist(), *(x.tolist() for x in within), strict=True):
+                packer.add(doc_id, ids[start:stop].astype("<u4").tobytes() + ending, stops[low:high] - start)
             if packer.rows:
                 yield emit(packer)
         packer.flush(True)

@@ -178,7 +178,8 @@ def test_packing(docs, rows, empty):
 
 def test_every_sentence_end_is_a_cut_place():
     stops = [np.array([3, 7, 9, 14, 38, 40]), np.array([], int), np.array([1, 2])]
-    at, penalty = packing.cut_places(stops, [41, 5, 3])
+    ends = np.array([41, 46, 49])
+    at, penalty = packing.cut_places(np.concatenate([s + e for s, e in zip(stops, [0, 41, 46], strict=True)]), ends)
     where = dict(zip(at.tolist(), penalty.tolist(), strict=True))
     assert len(where) == len(at) and sorted(where) == at.tolist()
     assert {p for p, c in where.items() if c == packing.SENTENCE} == {3, 7, 9, 14, 38, 40, 47, 48}
