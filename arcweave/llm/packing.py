@@ -68,7 +68,7 @@ class WordLevel:
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def remember(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        """The words' ids, which stand one after another."""
+        """The ids of distinct new words, which stand one after another."""
         first, n = len(self.known), len(words)
         while self.size + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -86,7 +86,7 @@ class WordLevel:
         letters = {w: None for w in new if w.isascii() and w.isalpha()}
         rest = [w for w in new if w not in letters]
         parts = [(w, m[1], m[2]) for w, m in zip(rest, map(self.LETTERS.fullmatch, rest), strict=True) if m]
-        odd = [*set(rest).difference(w for w, _, _ in parts)]
+        odd = dict.fromkeys(set(rest).difference(w for w, _, _ in parts))
         letters |= dict.fromkeys(a for _, a, _ in parts if a not in known)
         if letters:
             ids = encoded(self.tokenizer, " ".join(letters))
@@ -94,11 +94,11 @@ class WordLevel:
             if len(ends) == len(letters):
                 self.remember(list(letters), ids, np.diff(ends, prepend=0))
             else:  # the library saw other edges: one by one
-                odd += letters
-        odd += dict.fromkeys(b for _, _, b in parts if b not in known)
+                odd |= letters
+        odd |= dict.fromkeys(b for _, _, b in parts if b not in known)
         if odd:
             found = [encoded(self.tokenizer, w) for w in odd]
-            self.remember(odd, np.concatenate(found), np.array([len(x) for x in found]))
+            self.remember(list(odd), np.concatenate(found), np.array([len(x) for x in found]))
         parts = [p for p in parts if p[2]]
         if parts:
             at = np.array([known[x] for _, a, b in parts for x in (a, b)])

@@ -4,6 +4,7 @@ import base64
 import bisect
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -11,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,6 +178,18 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_words_have_the_librarys_ids():
+    r = random.Random(5)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, coder = bpe.load(path), packing.WordLevel(path, most=3000)
+    some = [*"aAbBzZ  \n\t.,!?'#-09éÉßÀ÷×İſḰ🙂“”<|>_\u00a0\u2003\r\x0b\x1c\x85", "'s", "'ll", "...", "<|endoftext|>", "the", "The", "don't", "ing.", "e\u0301"]
+    for _ in range(20):
+        texts = ["".join(r.choice(some) for _ in range(r.randrange(14))) for _ in range(500)]
+        ids, ends = coder.encode(pa.array(["x", *texts])[1:])
+        for t, own, want in zip(texts, np.split(ids, ends[:-1]), library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            assert own.tolist() == want.ids, t
+
+
 def test_every_sentence_end_is_a_cut_place():
     stops = [np.array([3, 7, 9, 14, 38, 40]), np.array([], int), np.array([1, 2])]
     ends = np.array([41, 46, 49])
