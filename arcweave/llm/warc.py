@@ -2,30 +2,42 @@
 
 write() makes a record for each row of a table of pages: of the rows with one
 payload, the one with the largest id is a response and the others revisit it.
-Digests are aggregated to that id (partial sums before the shuffle, so a
-payload that a third of all rows share is no hot group), and joined back.
+Digests are aggregated to that id by partial sums over (id, digest) alone.
+Digests that hold more than a share of all rows, so at most 1 / share of them,
+are broadcast; the others are joined, so no payload makes a hot group.  What
+comes out, the ids that revisit, is joined to the pages by id and digest: a
+small table is broadcast, a large one shuffles the pages once and evenly.
 
 The source writes one or more files per task, each record a gzip member whose
-extra field `SL` tells its lengths, and reads them back: one partition per
-file, record-type and header predicates pushed down.  The head of a record is
-inflated first; a record that the predicates reject is passed over by its
-length, its payload never inflated.  Members without the field are read too.
-Files lie in any file system that pyarrow opens.  A retried task writes new
-names; commit() lists those that count in the folder's `_files`.
+extra field `SL` tells its lengths and that of its deflated head, and reads
+them back: one partition per file, record-type and header predicates pushed
+down.  Only the head of a record is inflated first; a record that the
+predicates reject is passed over by its length, its payload never inflated.
+Files lie in any file system that pyarrow opens.  Each committed write adds a
+list of its files, `_files-*`, to the folder; a reader takes the files of all
+lists, so appends add up, an overwrite names the lists that it replaces, and
+files of failed or repeated tasks don't count.  abort() deletes what was written.
+
+Archives of other makers are read too: gzip members without the field, plain
+`.warc`, any record type and id.  page_id and refers_to are those of this
+writer's ids, else null; record_id holds the id as it stands.  Payloads are
+those of responses (after the HTTP header), resources and conversions.
 
 Null html: an empty payload.  Rows that repeat the largest id are responses
 each.  Null ids: written and read as null; such a row is the response only if
-all rows of its payload have none.  Empty table: no rows.
+all rows of its payload have none.  Empty table: no rows.  Long payloads are
+written and read whole, one at a time.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,12 +45,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from arcweave.llm.common import map_arrow, shared_path, slices
+from arcweave.llm.common import map_arrow, shared_path, slices, written
 
-RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-COLUMNS = [c.split()[0] for c in RECORD.split(", ")]
+RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary, record_id string"
+SCHEMA = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in RECORD.split(", ")])
 #: Columns whose values stand in the head of a record.
-IN_HEAD = ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes")
+IN_HEAD = ("page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "record_id")
+LISTS = "_files-"
+GAP = b"\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -51,8 +65,14 @@ def named(i: int | None) -> str:
 
 
 def number(name: str | None) -> int | None:
-    tail = name.strip("<>").rpartition(":")[2] if name else "none"
-    return None if tail == "none" else int(tail)
+    """The page id in a record id of named(); null for other ids."""
+    tail = (name or "").strip("<>")
+    if not tail.startswith("urn:page:") or tail == "urn:page:none":
+        return None
+    try:
+        return int(tail.removeprefix("urn:page:"))
+    except ValueError:
+        return None
 
 
 def record_of(row: dict) -> tuple[bytes, bytes]:
@@ -72,54 +92,129 @@ def record_of(row: dict) -> tuple[bytes, bytes]:
 def member(head: bytes, rest: bytes, level: int) -> bytes:
     """A gzip member; its head is flushed apart, so it inflates without the payload."""
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
-    data = z.compress(head) + z.flush(zlib.Z_FULL_FLUSH) + z.compress(rest) + z.flush()
-    raw = head + rest
-    size = 24 + len(data) + 8
-    extra = b"SL" + (8).to_bytes(2, "little") + size.to_bytes(4, "little") + (len(raw) & 0xFFFFFFFF).to_bytes(4, "little")
-    return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + len(extra).to_bytes(2, "little") + extra + data + zlib.crc32(raw).to_bytes(4, "little") + (len(raw) & 0xFFFFFFFF).to_bytes(4, "little")
+    first = z.compress(head) + z.flush(zlib.Z_FULL_FLUSH)
+    data = first + z.compress(rest) + z.flush()
+    raw = len(head) + len(rest)
+    lengths = (28 + len(data) + 8, raw, len(first))
+    if max(lengths) >= 1 << 32:
+        raise ValueError("a record of 4 GB or more")
+    extra = b"SL" + (12).to_bytes(2, "little") + b"".join(n.to_bytes(4, "little") for n in lengths)
+    return b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + len(extra).to_bytes(2, "little") + extra + data + zlib.crc32(rest, zlib.crc32(head)).to_bytes(4, "little") + raw.to_bytes(4, "little")
+
+
+def fields_of(part: bytes) -> dict[str, str]:
+    """Header fields after the first line, names in lower case."""
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in part.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
+def has_http(fields: dict[str, str]) -> bool:
+    return fields.get("content-type", "").replace(" ", "").startswith("application/http")
+
+
+class Record:
+    """A record of an open file: raw holds its first bytes, all of its header fields and HTTP header among them."""
+
+    def __init__(self, more: Callable[[int], bytes]):
+        self.more, self.raw = more, b""
+        while GAP not in self.raw and self.grow():
+            pass
+        self.block = self.raw.find(GAP) + 4
+        if self.block < 4:
+            raise ValueError("a record without an end of its head")
+        self.fields = fields_of(self.raw[: self.block - 4])
+        self.length = int(self.fields.get("content-length", 0))
+        self.http, self.body = {}, self.block
+        if has_http(self.fields):
+            while (at := self.raw.find(GAP, self.block)) < 0 and len(self.raw) < self.block + self.length and self.grow():
+                pass
+            if 0 <= at < self.block + self.length:
+                self.http, self.body = fields_of(self.raw[self.block : at]), at + 4
+
+    def grow(self, wanted: int = 4096) -> bool:
+        new = self.more(wanted)
+        self.raw += new
+        return bool(new)
+
+    def row(self) -> dict:
+        f, kind = self.fields, self.fields.get("warc-type")
+        size = self.http.get("content-length") if kind == "revisit" else self.block + self.length - self.body if kind in ("response", "resource", "conversion") else None
+        return {
+            "page_id": number(f.get("warc-record-id")), "url": f.get("warc-target-uri"), "record_type": kind, "refers_to": number(f.get("warc-refers-to")),
+            "payload_digest": f.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": int(size) if size is not None else None, "payload": None, "record_id": f.get("warc-record-id"),
+        }
+
+    def payload(self) -> bytes:
+        end, parts = self.block + self.length, [self.raw]
+        held = len(self.raw)
+        while held < end:
+            parts.append(self.more(1 << 18))
+            if not parts[-1]:
+                raise ValueError("a record is cut short")
+            held += len(parts[-1])
+        self.raw = b"".join(parts)
+        return self.raw[self.body : end]
+
+
+def inflater(source, at: int, size: int, first: bytes) -> tuple[Callable[[int], bytes], Callable[[], int]]:
+    """A function that gives more inflated bytes of the gzip member at a place ("" at its end), and one that passes over the rest and gives the member's end.
+
+    first: what is already read of the member, and given at once.
+    """
+    z, state = zlib.decompressobj(31), {"fed": at, "first": first}
 
+    def more(wanted: int) -> bytes:
+        while not z.eof:
+            data, state["first"] = state["first"], b""
+            if not data:
+                if state["fed"] >= size:
+                    raise ValueError("a record is cut short")
+                source.seek(state["fed"])
+                data = source.read(min(wanted, size - state["fed"]))
+            state["fed"] += len(data)
+            if out := z.decompress(data):
+                return out
+        return b""
 
-def parsed(head: bytes) -> tuple[dict[str, str], dict[str, str]]:
-    """WARC and HTTP header fields, names in lower case."""
-    first, _, second = head.partition(b"\r\n\r\n")
-    fields = [{k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in part.decode("utf-8", "replace").split("\r\n")[1:])} for part in (first, second.partition(b"\r\n\r\n")[0])]
-    return fields[0], fields[1]
+    def end() -> int:
+        while more(1 << 18):
+            pass
+        return state["fed"] - len(z.unused_data)
 
+    return more, end
 
-def members(source, size: int) -> Iterator[tuple]:
-    """(read head, read payload, fields) of each record of an open file: head at once, payload by a call."""
+
+def records_in(source, size: int, start: int = 4096) -> Iterator[Record]:
+    """The records of an open file of gzip members or of plain records; the file is read no further than asked of each."""
     at = 0
     while at < size:
         source.seek(at)
-        start = source.read(min(4096, size - at))
-        known = start[:4] == b"\x1f\x8b\x08\x04" and start[12:14] == b"SL"
-        length = int.from_bytes(start[16:20], "little") if known else 0
-        z = zlib.decompressobj(31)
-        head, fed = z.decompress(start[:length] if known else start), len(start)
-        while head.count(b"\r\n\r\n") < 2 and not z.eof and at + fed < size:
-            more = source.read(min(4096, size - at - fed))
-            fed += len(more)
-            head += z.decompress(more)
-        state = {"at": at, "fed": fed, "raw": head}
-
-        def whole(z=z, state=state, length=length) -> bytes:
-            source.seek(state["at"] + state["fed"])
-            limit = state["at"] + length if length else size
-            parts = [state["raw"]]
-            while not z.eof and state["at"] + state["fed"] < limit:
-                more = source.read(min(1 << 18, limit - state["at"] - state["fed"]))
-                state["fed"] += len(more)
-                parts.append(z.decompress(more))
-            if not z.eof:
-                raise ValueError("a record is cut short")
-            state["raw"] = b"".join(parts)
-            return state["raw"]
-
-        yield head, whole, parsed(head)
-        if not length:
-            whole()
-            length = state["fed"] - len(z.unused_data)
-        at += length
+        first = source.read(min(start, size - at))
+        if first[:2] == b"\x1f\x8b":
+            told = first[3:4] == b"\x04" and first[12:14] == b"SL" and int.from_bytes(first[14:16], "little") == 12
+            if told:  # only the deflated head; the payload is inflated if it is asked for
+                length, head = int.from_bytes(first[16:20], "little"), int.from_bytes(first[24:28], "little")
+                more, _ = inflater(source, at, at + length, first[: 28 + head])
+                yield Record(more)
+                at += length
+                continue
+            more, end = inflater(source, at, size, first)
+            yield Record(more)
+            at = end()
+            continue
+        place = [at]
+
+        def plain(wanted: int, place=place) -> bytes:
+            source.seek(place[0])
+            data = source.read(min(wanted, size - place[0]))
+            place[0] += len(data)
+            return data
+
+        found = Record(plain)
+        yield found
+        at += found.block + found.length
+        source.seek(at)
+        gap = source.read(4)
+        at += len(gap) - len(gap.lstrip(b"\r\n"))
 
 
 @dataclass
@@ -141,6 +236,19 @@ def opened(path: str):
     return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
 
 
+def listed(system, root: str) -> dict[str, dict]:
+    """The lists of files in a folder that no other list replaces, by name."""
+    from pyarrow import fs
+
+    names = [f.path for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith(LISTS)] if system.get_file_info(root).type != fs.FileType.File else []
+    found = {}
+    for path in sorted(names):
+        with system.open_input_stream(path, compression=None) as f:
+            found[path.rpartition("/")[2]] = json.loads(f.read())
+    gone = {name for x in found.values() for name in x["replaces"]}
+    return {k: v for k, v in found.items() if k not in gone}
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, path: str):
         self.path, self.tests = path, []
@@ -164,12 +272,11 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         system, root = opened(self.path)
-        listed = f"{root}/_files"
-        if system.get_file_info(listed).type == fs.FileType.NotFound:
-            found = system.get_file_info(fs.FileSelector(root, recursive=True)) if system.get_file_info(root).type == fs.FileType.Directory else [system.get_file_info(root)]
-            return [Part(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith((".warc.gz", ".warc"))] or [Part("")]
-        with system.open_input_stream(listed) as f:
-            return [Part(f"{root}/{name}") for name in json.loads(f.read())] or [Part("")]
+        lists = listed(system, root)
+        if lists:
+            return [Part(f"{root}/{name}") for x in lists.values() for name in x["files"]] or [Part("")]
+        found = system.get_file_info(fs.FileSelector(root, recursive=True)) if system.get_file_info(root).type == fs.FileType.Directory else [system.get_file_info(root)]
+        return [Part(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and f.path.endswith((".warc.gz", ".warc"))] or [Part("")]
 
     def wanted(self, row: dict) -> bool:
         for name, kind, value in self.tests:
@@ -182,57 +289,69 @@ class WarcReader(DataSourceReader):
         if not partition.path:
             return
         system, _ = opened(self.path)
-        schema = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for c in RECORD.split(", ")])
         rows, held = [], 0
         size = system.get_file_info(partition.path).size
         with system.open_input_file(partition.path) as source:
-            for _, whole, (fields, http) in members(source, size):
-                row = {"page_id": number(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"), "refers_to": number(fields.get("warc-refers-to"))}
-                row |= {"payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, "payload_bytes": int(http["content-length"]) if "content-length" in http else None, "payload": None}
+            for record in records_in(source, size):
+                row = record.row()
                 if not self.wanted(row):
                     continue
-                if row["record_type"] == "response":
-                    raw = whole()
-                    start = raw.index(b"\r\n\r\n", raw.index(b"\r\n\r\n") + 4) + 4
-                    first = raw.index(b"\r\n\r\n") + 4
-                    row["payload"] = raw[start : first + int(fields["content-length"])]
+                if row["record_type"] in ("response", "resource", "conversion"):
+                    row["payload"] = record.payload()
                     held += len(row["payload"])
                 rows.append(row)
                 held += 300
                 if held > 1 << 22:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
                     rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, level: int, most: int):
-        self.path, self.level, self.most = path, level, most
+    def __init__(self, path: str, level: int, most: int, overwrite: bool):
+        self.path, self.level, self.most, self.overwrite = path, level, most, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
         files, sink, size = [], None, 0
-        for batch in slices(iterator):
-            for row in batch.to_pylist():
-                if sink is None or size > self.most:
-                    if sink is not None:
-                        sink.close()
-                    files.append(f"{uuid.uuid4().hex}.warc.gz")
-                    sink, size = system.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
-                data = member(*record_of(row), self.level)
-                sink.write(data)
-                size += len(data)
-        if sink is not None:
-            sink.close()
+        try:
+            for batch in slices(iterator):
+                for row in batch.to_pylist():
+                    if sink is None or size > self.most:
+                        if sink is not None:
+                            sink.close()
+                        files.append(f"{uuid.uuid4().hex}.warc.gz")
+                        sink, size = system.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
+                    data = member(*record_of(row), self.level)
+                    sink.write(data)
+                    size += len(data)
+            if sink is not None:
+                sink.close()
+        except BaseException:
+            if sink is not None and not sink.closed:
+                sink.close()
+            removed(system, root, files)
+            raise
         return Written(files)
 
     def commit(self, messages) -> None:
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/_files", compression=None) as f:
-            f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+        old = listed(system, root) if self.overwrite else {}
+        with system.open_output_stream(f"{root}/{LISTS}{uuid.uuid4().hex}.json", compression=None) as f:
+            f.write(json.dumps({"files": sorted(x for m in messages if m for x in m.files), "replaces": sorted(old)}).encode())
+        removed(system, root, [name for x in old.values() for name in x["files"]])
+
+    def abort(self, messages) -> None:
+        removed(*opened(self.path), [x for m in messages if m for x in m.files])
+
+
+def removed(system, root: str, files: list[str]) -> None:
+    for name in files:
+        with contextlib.suppress(FileNotFoundError):
+            system.delete_file(f"{root}/{name}")
 
 
 class WarcSource(DataSource):
@@ -249,7 +368,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"])
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"], int(self.options.get("level", 1)), int(self.options.get("max_file_bytes", 64 << 20)))
+        return WarcWriter(self.options["path"], int(self.options.get("level", 1)), int(self.options.get("max_file_bytes", 64 << 20)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -257,10 +376,9 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column, by SQL functions."""
+def base32(bits: Column) -> Column:
+    """Upper-case base32 of a hexadecimal SHA-1, by SQL functions."""
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-    bits = F.sha1(payload)
 
     def four(i: int) -> list[Column]:
         n = F.conv(F.substring(bits, 5 * i + 1, 5), 16, 10).cast("int")
@@ -269,22 +387,28 @@ def base32_sha1(payload: Column) -> Column:
     return F.concat(*(c for i in range(8) for c in four(i)))
 
 
-def records(pages: DataFrame, least: int = 0) -> DataFrame:
-    """The columns of RECORD for each page; payloads under `least` bytes are all responses."""
+def records(pages: DataFrame, least: int = 0, share: int = 1000) -> DataFrame:
+    """The columns of RECORD but record_id for each page; payloads under `least` bytes are all responses."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("sha", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    owner = rows.groupBy("sha").agg(F.max("page_id").alias("owner"))
-    joined = rows.join(owner, "sha")
-    first = (F.col("payload_bytes") < least) | F.col("page_id").eqNullSafe(F.col("owner"))
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("sha", F.sha1("payload"))
+    narrow = written(rows.where(F.col("payload_bytes") >= least).select("page_id", F.unhex("sha").alias("key")), "digests")
+    owners = written(narrow.groupBy("key").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1"), "owners")
+    hot = F.col("n") * share > narrow.count()
+    often = F.broadcast(owners.where(hot).select("key", "owner"))
+    found = narrow.join(often, "key").union(narrow.join(often, "key", "left_anti").join(owners.where(~hot).select("key", "owner"), "key"))
+    again = written(found.where(~F.col("page_id").eqNullSafe(F.col("owner"))).distinct(), "revisits").select(F.col("page_id").alias("again"), "key", "owner")
+    joined = rows.join(again, F.col("page_id").eqNullSafe(F.col("again")) & (F.unhex("sha") == F.col("key")), "left")
+    first = F.col("key").isNull()
     return joined.select(
-        "page_id", "url", F.when(first, "response").otherwise("revisit").alias("record_type"), F.when(~first, F.col("owner")).alias("refers_to"),
-        base32_sha1(F.col("payload")).alias("payload_digest"), "payload_bytes", F.when(first, F.col("payload")).alias("payload"),
+        "page_id", "url", F.when(first, "response").otherwise("revisit").alias("record_type"), F.col("owner").alias("refers_to"),
+        base32(F.col("sha")).alias("payload_digest"), "payload_bytes", F.when(first, F.col("payload")).alias("payload"),
     )
 
 
-def write(pages: DataFrame, path: str, least: int = 0) -> None:
+def write(pages: DataFrame, path: str, least: int = 0, mode: str = "append") -> None:
+    """Write pages as archives into a folder; mode: append, or overwrite."""
     register(pages.sparkSession)
-    records(pages, least).write.format("warc").mode("append").option("path", path).save()
+    records(pages, least).write.format("warc").mode(mode).option("path", path).save()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -403,6 +403,95 @@ def test_warc(spark, sf, tmp_path, empty):
     assert sorted(r.page_id for r in warc.read(spark, str(tmp_path / "f")).where("page_id >= 1").collect()) == [1, 2]
 
 
+def test_warc_appends_overwrites_and_aborts(spark, tmp_path):
+    path = f"file://{tmp_path}/w"
+    page = lambda i, html: spark.createDataFrame([(i, "http://a/", html)], "page_id long, url string, html string")
+    found = lambda: sorted((r.page_id, bytes(r.payload or b"")) for r in warc.read(spark, path).collect())
+    warc.write(page(1, "a"), path)
+    warc.write(page(2, "b"), path)
+    assert found() == [(1, b"a"), (2, b"b")]
+    warc.write(page(3, "c"), path, mode="overwrite")
+    assert found() == [(3, b"c")] and len(list((tmp_path / "w").glob("*.warc.gz"))) == 1
+    writer = warc.WarcWriter(path, 1, 1 << 20, False)
+    row = {"page_id": 4, "url": "u", "record_type": "response", "refers_to": None, "payload_digest": "D", "payload_bytes": 1, "payload": b"d"}
+    message = writer.write(iter([pa.RecordBatch.from_pylist([row])]))
+    assert found() == [(3, b"c")] and len(list((tmp_path / "w").glob("*.warc.gz"))) == 2  # not committed: not read
+    writer.abort([message, None])
+    assert found() == [(3, b"c")] and len(list((tmp_path / "w").glob("*.warc.gz"))) == 1
+    with pytest.raises(KeyError):
+        writer.write(iter([pa.RecordBatch.from_pylist([row]), pa.RecordBatch.from_pylist([{"page_id": 5}])]))
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) == 1
+
+
+def test_warc_leaves_unwanted_payloads_deflated(tmp_path, monkeypatch):
+    r = np.random.Generator(np.random.PCG64(1))
+    rows = [{"page_id": i, "url": "u", "record_type": "response", "refers_to": None, "payload_digest": "D", "payload_bytes": n, "payload": r.integers(0, 50, n, np.uint8).tobytes()} for i, n in enumerate((10, 3000, 100_000, 7, 5000))]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(warc.member(*warc.record_of(x), 1) for x in rows))
+    heads = sum(len(warc.record_of(x)[0]) for x in rows)
+    inflated = []
+
+    class Counting:
+        def __init__(self, bits):
+            self.z = real(bits)
+
+        def decompress(self, data):
+            out = self.z.decompress(data)
+            inflated.append(len(out))
+            return out
+
+        eof, unused_data = property(lambda self: self.z.eof), property(lambda self: self.z.unused_data)
+
+    real = zlib.decompressobj
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    reader = warc.WarcReader(str(tmp_path))
+    assert list(reader.pushFilters([warc.EqualTo(("page_id",), 3)])) == []
+    found = [x for b in reader.read(reader.partitions()[0]) for x in b.to_pylist()]
+    assert [x["payload"] for x in found] == [rows[3]["payload"]] and sum(inflated) == heads + 7 + 4
+    inflated.clear()
+    reader.tests = [("record_type", "in", ["revisit"])]
+    assert list(reader.read(reader.partitions()[0])) == [] and sum(inflated) == heads
+
+
+def standard_archive(html):
+    """Records as other makers write them."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: identity\r\n\r\n"
+    parts = (
+        ("warcinfo", "<urn:uuid:1>", "application/warc-fields", b"software: x\r\n\r\nformat: y\r\n"), ("request", "<urn:uuid:2>", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        ("response", "<urn:uuid:3>", "application/http; msgtype=response", http + html), ("resource", "<urn:uuid:4>", "text/plain", b"plain\r\n\r\ntext"), ("metadata", "<urn:uuid:5>", "application/warc-fields", b""),
+        ("response", "<urn:uuid:6>", "text/dns", b"no http"), ("conversion", "urn:page:x", "text/plain", html),
+    )
+    return [f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {name}\r\nWARC-Target-URI: http://a/\r\nContent-Type: {mime}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n" for kind, name, mime, body in parts]
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_warc_of_other_makers(spark, tmp_path, zipped):
+    import gzip
+
+    html = bytes(range(256)) * 300
+    records = standard_archive(html)
+    (tmp_path / ("x.warc.gz" if zipped else "x.warc")).write_bytes(b"".join(map(gzip.compress, records) if zipped else records))
+    found = {r.record_id: r for r in warc.read(spark, str(tmp_path)).collect()}
+    assert [r.record_type for r in found.values()] == ["warcinfo", "request", "response", "resource", "metadata", "response", "conversion"] and all(r.page_id is None for r in found.values())
+    payloads = {k: bytes(r.payload) for k, r in found.items() if r.payload is not None}
+    assert payloads == {"<urn:uuid:3>": html, "<urn:uuid:4>": b"plain\r\n\r\ntext", "<urn:uuid:6>": b"no http", "urn:page:x": html}
+    assert all(found[k].payload_bytes == len(v) for k, v in payloads.items())
+    assert warc.read(spark, str(tmp_path)).where("record_type = 'resource'").count() == 1
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "y.warc").write_bytes(records[2][:-9])
+    with pytest.raises(Exception, match="cut short"):
+        warc.read(spark, str(tmp_path / "cut")).collect()
+
+
+def test_warc_of_equal_payloads(spark):
+    pages = spark.range(3000).selectExpr("id % 2900 AS page_id", "'u' AS url", "IF(id % 2 = 0, 'same', concat('p', id % 700)) AS html", "1 AS key", "2 AS owner", "3 AS sha")
+    best = {}
+    rows = pages.collect()
+    for r in rows:
+        best[r.html] = max(best.get(r.html, -1), r.page_id)
+    want = Counter((r.page_id, "response" if best[r.html] == r.page_id else "revisit", None if best[r.html] == r.page_id else best[r.html]) for r in rows)
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect()) == want
+
+
 # languages
 
 
