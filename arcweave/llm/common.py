@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.functions.session import shared_path, written  # noqa: F401
+from arcweave.functions.session import shared_path, written, written_with  # noqa: F401
 
 #: Bytes of text that a Python function holds at a time; larger Arrow batches are cut between rows.
 SLICE_BYTES = 4 << 20
@@ -67,6 +67,23 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
+def spread(left: DataFrame, right: DataFrame, key: str, by: Column, total: int, counts: DataFrame | None = None, how: str = "inner", share: int = 1000, least: int = 200, salts: int = 64) -> DataFrame:
+    """left joined to right, which has one row a key, without hot keys.
+
+    A key of more than 1 / share of left's `total` rows (and of more than
+    `least`) is dealt over `salts` tasks by a hash of `by`, right's row being
+    repeated for each: such keys number at most `share`, so their table is
+    broadcast and the rows added are bounded.  counts: (key, n) of left, if at hand.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = F.broadcast(counts.where((F.col("n") * share > total) & (F.col("n") > least)).select(F.col(key), F.lit(True).alias("_hot")))
+    dealt = left.withColumn("_by", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(hot, key, "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_hot"), F.col("_by")).otherwise(0)).drop("_hot", "_by")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
 def release() -> None:
     """Give freed memory back to the machine: workers live on between tasks and operators."""
     gc.collect()

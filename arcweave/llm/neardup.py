@@ -7,21 +7,25 @@ Of the first 128, bands of four each name a bucket; of every minimum only two
 low bits are kept, packed into eight 64-bit numbers.  Two documents' share of equal bit pairs,
 corrected for chance, estimates their similarity, by XOR and bit counts.
 
-Documents with equal sets are one class, represented by the smallest id.
-Buckets of more than one representative give candidate pairs:
-  1. each representative with one leader of its buckets (a star, never all pairs of a bucket);
+Documents with equal sets are one class, named by the set's 128-bit hash and
+represented by the smallest id.  Buckets of more than one class give candidates:
+  1. each class with one leader of its buckets (a star, never all pairs of a bucket);
   2. the stars of other, hashed leaders, for buckets that still hold several components;
-  3. at last the pairs of different components within a bucket, each only in
-     the first bucket it shares, and only if their rarest shingles overlap enough.
+  3. at last, of the classes in such buckets, those of different components that
+     have one of their rarest shingles in common and sets of like size: of two
+     sets that are similar enough, the rarest 20% (and one more) of each must meet.
 A pair whose estimate is more than five standard deviations below the threshold
 is dropped; the others are confirmed on the full sets.  A pair that shares no
 bucket is lost with probability (1 - 0.8^4)^32 < 1e-7 at similarity 0.8.
 Groups are the connected components of the confirmed links, by label
-propagation with pointer jumping over written tables.
+propagation with pointer jumping over written tables.  Joins on a key that many
+rows may share (a bucket, a leader, a label, a class) deal it over many tasks.
 
 Null or empty text, or one of white space only: no set, linked with nothing.
-Repeated rows and copies: one class.  Null ids are set aside, each its own
-group with a null id.  Empty table: no rows.  Other columns are not read.
+Very long texts are read whole.  Repeated rows and copies: one class.  Rows
+that share an id are linked with each other, whatever their texts.  Null ids are
+set aside, each its own group with a null id.  Empty table: no rows.  Other
+columns are not read, but kept by keep().
 """
 
 from __future__ import annotations
@@ -32,10 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import WordHash, arrays, bytes_list, id_text, map_arrow, written
+from arcweave.llm.common import WordHash, arrays, bytes_list, id_text, map_arrow, spread, written, written_with
 
 BANDS, ROWS, BITS, HASHES = 32, 4, 2, 256
-SIGNED = "doc_id long, n_shingles long, hi long, lo long, sketch array<long>, bands array<long>"
+SIGNED = "doc_id long, n_shingles long, cls binary, sketch array<long>, bands array<long>"
 _RANDOM = np.random.Generator(np.random.PCG64(20))
 _A = _RANDOM.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, HASHES, np.uint64)
@@ -80,14 +84,14 @@ def minima(sets: list[np.ndarray], most: int = 1 << 16) -> np.ndarray:
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
     """Each document's set size, the key of its set, its packed low bits and its bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sketch", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()), ("sketch", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
     cache = WordHash()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, k, cache) for t in bytes_list(batch, "text")]
         some = [i for i, s in enumerate(sets) if len(s)]
         n = len(sets)
-        hi, lo, sketch, bands = [None] * n, [None] * n, [None] * n, [None] * n
+        cls, sketch, bands = [None] * n, [None] * n, [None] * n
         if some:
             low = minima([sets[i] for i in some])
             keys = np.zeros((len(some), BANDS), np.uint64)
@@ -97,10 +101,8 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             bits = (mixed(low) & np.uint64((1 << BITS) - 1)).reshape(len(some), -1, 64 // BITS)
             packs = (bits << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64).view(np.int64)
             for row, i in enumerate(some):
-                d = xxhash.xxh3_128_digest(sets[i].tobytes())
-                hi[i], lo[i] = int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
-                sketch[i], bands[i] = packs[row], keys[row]
-        return arrays(schema, batch.column(0), [len(s) for s in sets], hi, lo, sketch, bands)
+                cls[i], sketch[i], bands[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), packs[row], keys[row]
+        return arrays(schema, batch.column(0), [len(s) for s in sets], cls, sketch, bands)
 
     return map_arrow(id_text(docs), run, SIGNED)
 
@@ -118,22 +120,24 @@ def estimate(a: Column, b: Column) -> Column:
 
 def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable) of every node in links(a, b)."""
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("next")).union(links.select("b", "a")).distinct()
-    both = written(both, "links")
+    both = written(links.select(F.col("a").alias("node"), F.col("b").alias("next")).union(links.select("b", "a")).distinct(), "links")
+    total = both.count()
+    degrees = both.groupBy("node").agg(F.count("*").alias("n")).withColumnRenamed("node", "next")
     labels = written(both.groupBy("node").agg(F.least(F.col("node"), F.min("next")).alias("comp")), "labels")
+    nodes = labels.count()
     while True:
-        near = both.join(labels.select(F.col("node").alias("next"), "comp"), "next").groupBy("node").agg(F.min("comp").alias("low"))
-        lowered = labels.join(near, "node").select("node", F.least("comp", "low").alias("comp"), F.col("comp").alias("before"))
-        jump = lowered.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        new = written(lowered.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("root", "comp")).alias("comp"), "before"), "labels")
-        changed = new.where(F.col("comp") != F.col("before")).limit(1).count()
+        near = spread(both, labels.select(F.col("node").alias("next"), "comp"), "next", F.col("node"), total, degrees).groupBy("node").agg(F.min("comp").alias("low"))
+        lowered = written(labels.join(near, "node").select("node", F.least("comp", "low").alias("comp"), F.col("comp").alias("before")), "lowered")
+        jump = lowered.where("comp <> node").select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+        new = spread(lowered, jump, "comp", F.col("node"), nodes, how="left").select("node", F.least("comp", F.coalesce("root", "comp")).alias("comp"), "before")
+        new, changed = written_with(new.withColumn("fell", F.col("comp") != F.col("before")), "labels", "fell")
         labels = new.select("node", "comp")
         if not changed:
             return labels
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |A and B| >= percent * |A or B|."""
+    """The ids (a, b) of the pairs (x, y) of classes with 100 * |X and Y| >= percent * |X or Y|."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -147,12 +151,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         kept = batch.filter(pa.array(keep, pa.bool_()))
         return arrays(schema, kept.column(0), kept.column(1))
 
-    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
-    return map_arrow(joined.select("a", "b", "x", "y"), run, "a long, b long")
+    total = pairs.count()
+    joined = pairs
+    for c in ("y", "x"):
+        joined = spread(joined, sets.select(F.col("cls").alias(c), F.col("hashes").alias(f"set_{c}")), c, F.col("x" if c == "y" else "y"), total, pairs.groupBy(c).agg(F.count("*").alias("n")))
+    return map_arrow(joined.select("a", "b", "set_x", "set_y"), run, "a long, b long")
 
 
 def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame:
-    """doc_id, rare: the first n - t n + 1 of each set's n hashes, rarest first; marks: a bit of 512 for each; hidden: how many share a bit.
+    """cls, rare: the first n - t n + 1 of each set's n hashes, rarest first; marks: a bit of 512 for each; hidden: how many share a bit.
 
     The order is the same for all sets: by the count of the hash's cell (a table
     of fixed size), then by hash.
@@ -172,7 +179,7 @@ def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame
     table = np.zeros(cells, np.int64)
     table[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     shared = sets.sparkSession.sparkContext.broadcast(table)
-    schema = pa.schema([("doc_id", pa.int64()), ("rare", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("hidden", pa.int32())])
+    schema = pa.schema([("cls", pa.binary()), ("rare", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("hidden", pa.int32())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rare, marks, hidden = [], [], []
@@ -187,88 +194,102 @@ def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame
             hidden.append(len(rare[-1]) - len(bits))
         return arrays(schema, batch.column(0), rare, marks, hidden)
 
-    return map_arrow(sets, run, "doc_id long, rare array<long>, marks array<long>, hidden int")
+    return map_arrow(sets, run, "cls binary, rare array<long>, marks array<long>, hidden int")
 
 
 def last_pairs(left: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, low: float) -> DataFrame:
-    """Pairs (a, b) of different components of a bucket, each in the first bucket they share, that size, sketch and rarest hashes allow."""
-    open_ = left.select("rep").distinct()
-    rare = rare_first(sets.join(open_.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), percent).withColumnRenamed("doc_id", "rep")
-    facts = written(reps.select("rep", "n_shingles", "sketch", "bands").join(rare, "rep"), "facts")
-    rows = left.select("bucket", "rep", "comp").join(facts, "rep")
-    a = rows.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "rare", "marks", "hidden")))
-    b = rows.select(F.col("bucket").alias("b_bucket"), *(F.col(c).alias(f"b_{c}") for c in ("rep", "comp", "n_shingles", "sketch", "bands", "rare", "marks", "hidden")))
-    larger = F.struct("a_n_shingles", "a_rep") > F.struct("b_n_shingles", "b_rep")
-    sized = (F.col("a_comp") != F.col("b_comp")) & (100 * F.col("b_n_shingles") >= percent * F.col("a_n_shingles"))
+    """Pairs of classes of left(cls, comp), of different components, that size, sketch and rarest hashes allow."""
+    rare = rare_first(sets.join(left.select("cls"), "cls", "left_semi"), percent)
+    facts = written(reps.select("cls", "rep", "n_shingles", "sketch").join(rare, "cls").join(left, "cls"), "facts")
+    needed = lambda a, b: percent * (F.col(a) + F.col(b)) / (100.0 + percent) - 1e-6
+    # sizes in steps of the threshold: the smaller set of a pair is in the step of the larger or in the one below
+    step = F.floor(F.log("n_shingles") / F.lit(np.log(100 / percent)) + 1e-9).cast("int")
+    tokens = facts.select("cls", "comp", "n_shingles", step.alias("step"), F.posexplode("rare").alias("at", "token"))
+    # a token of one class alone pairs nothing
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    tokens = written(tokens.join(often, "token", "left_semi"), "tokens")
+    b = tokens.select("token", "step", F.col("cls").alias("y"), F.col("comp").alias("y_comp"), F.col("n_shingles").alias("y_n"), F.col("at").alias("y_at"))
+    a = tokens.select("token", F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), F.col("cls").alias("x"), F.col("comp").alias("x_comp"), F.col("n_shingles").alias("x_n"), F.col("at").alias("x_at"))
+    larger = F.struct("x_n", "x") > F.struct("y_n", "y")
+    sized = 100 * F.col("y_n") >= percent * F.col("x_n")
+    placed = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) + F.least("x_at", "y_at") >= needed("x_n", "y_n")
+    met = a.join(b, ["token", "step"]).where(larger & sized & placed & (F.col("x_comp") != F.col("y_comp"))).select("x", "y").distinct()
+    x = facts.select(F.col("cls").alias("x"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "n_shingles", "sketch", "rare", "marks", "hidden")))
+    y = facts.select(F.col("cls").alias("y"), *(F.col(c).alias(f"y_{c}") for c in ("rep", "n_shingles", "sketch", "rare", "marks", "hidden")))
     # what two sets share beyond the common part of their rarest is at most what either leaves over
-    rest = F.greatest(F.col("a_n_shingles") - F.size("a_rare"), F.col("b_n_shingles") - F.size("b_rare"))
-    needed = percent * (F.col("a_n_shingles") + F.col("b_n_shingles")) / (100.0 + percent) - rest - 1e-6
-    marked = F.col("a_hidden") + sum((F.bit_count(F.col("a_marks")[i].bitwiseAND(F.col("b_marks")[i])) for i in range(8)), F.lit(0))  # no fewer than they share
-    alike = (estimate(F.col("a_sketch"), F.col("b_sketch")) >= low) & (marked >= needed) & (F.size(F.array_intersect("a_rare", "b_rare")) >= needed)
-    common = F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    pairs = a.join(b, (F.col("bucket") == F.col("b_bucket")) & larger & sized & alike & (F.get(common, F.lit(0)) == F.col("bucket")))
-    return pairs.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
+    rest = F.greatest(F.col("x_n_shingles") - F.size("x_rare"), F.col("y_n_shingles") - F.size("y_rare"))
+    marked = F.col("x_hidden") + sum((F.bit_count(F.col("x_marks")[i].bitwiseAND(F.col("y_marks")[i])) for i in range(8)), F.lit(0))  # no fewer than they share
+    enough = needed("x_n_shingles", "y_n_shingles") - rest
+    alike = (estimate(F.col("x_sketch"), F.col("y_sketch")) >= low) & (marked >= enough) & (F.size(F.array_intersect("x_rare", "y_rare")) >= enough)
+    return met.join(x, "x").join(y, "y").where(alike).select("x", "y", F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     low = percent / 100 - 5 * 0.03
     table = written(signed(docs, k), "signed")
-    some = table.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    reps = some.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "bands")).alias("r"))
-    reps = written(reps.select(F.col("r.doc_id").alias("rep"), "hi", "lo", "r.n_shingles", "r.sketch", "r.bands"), "reps")
-    entries = reps.select(F.explode("bands").alias("bucket"), "rep")
-    shared = entries.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").select("bucket", "leader")
-    members = written(entries.join(shared, "bucket"), "members")
-    sketches = reps.select("rep", "n_shingles", "sketch")
+    some = table.where(F.col("doc_id").isNotNull() & F.col("cls").isNotNull())
+    reps = some.groupBy("cls").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "bands")).alias("r"), F.count("*").alias("copies"))
+    reps = written(reps.select("cls", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.sketch", "r.bands", "copies"), "reps")
+    several = some.groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("doc_id")
+    same_id = written(some.join(several, "doc_id", "left_semi").select("doc_id", "cls").join(reps.select("cls", "rep"), "cls").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "same_id")
+    entries = reps.select(F.explode("bands").alias("bucket"), "cls", "rep")
+    shared = written(entries.groupBy("bucket").agg(F.min(F.struct("rep", "cls")).alias("r"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("r.cls").alias("leader"), "n"), "buckets")
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = written(spread(entries, shared.select("bucket", "leader"), "bucket", F.col("cls"), total, shared.select("bucket", "n")), "members")
+    sketches = reps.select("cls", "rep", "n_shingles", "sketch")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those whose set sizes and sketches allow the threshold."""
-        a = sketches.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-        b = sketches.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-        sized = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        return pairs.join(b, "b").join(a, "a").where(sized & (estimate(F.col("sa"), F.col("sb")) >= low)).select("a", "b")
-
-    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    first = written(likely(stars).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+        """Of pairs (x, y) of classes, those whose set sizes and sketches allow the threshold, with their ids (a, b)."""
+        pairs = written(pairs, "stars")
+        x = sketches.select(F.col("cls").alias("x"), F.col("rep").alias("a"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
+        y = sketches.select(F.col("cls").alias("y"), F.col("rep").alias("b"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("sy"))
+        sized = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+        return spread(pairs.join(y, "y"), x, "x", F.col("y"), pairs.count(), pairs.groupBy("x").agg(F.count("*").alias("n"))).where(sized & (estimate(F.col("sx"), F.col("sy")) >= low)).select("x", "y", "a", "b")
+
+    stars = members.where("cls <> leader").select(F.col("leader").alias("x"), F.col("cls").alias("y")).distinct()
+    first = written(likely(stars).groupBy("y").agg(F.min(F.struct("a", "x", "b")).alias("r")).select("r.x", "y", "r.a", "r.b"), "pairs")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    schema = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+    schema = pa.schema([("cls", pa.binary()), ("hashes", pa.binary())])
     cache = WordHash()
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return arrays(schema, batch.column(0), [shingles(t, k, cache).tobytes() for t in bytes_list(batch, "text")])
+        sets = [shingles(t, k, cache).tobytes() for t in bytes_list(batch, "text")]
+        return arrays(schema, [xxhash.xxh3_128_digest(s) for s in sets], sets)
 
     texts = id_text(docs).join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = written(map_arrow(texts, whole, "doc_id long, hashes binary").dropDuplicates(["doc_id"]), "sets")
-    links = written(confirmed(first, sets, percent), "links")
-    tried = first
+    sets = written(map_arrow(texts, whole, "cls binary, hashes binary").dropDuplicates(["cls"]), "sets")
+    links = written(confirmed(first, sets, percent), "links").union(same_id)
+    tried = first.select("x", "y")
     comps = components(links)
     for turn in range(rounds + 1):
-        placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
-        open_ = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by("rep", F.xxhash64("rep", F.lit(turn))).alias("leader")).where("least < most")
-        left = written(placed.join(open_, "bucket").select("bucket", "rep", "comp", "leader"), "open")
+        placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "cls", F.coalesce("comp", "rep").alias("comp"))
+        placed = written(placed, "placed")
+        open_ = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("cls", "comp"), F.xxhash64("cls", F.lit(turn))).alias("head"), F.count("*").alias("n")).where("least < most")
+        open_ = written(open_.select("bucket", F.col("head.cls").alias("head"), F.col("head.comp").alias("head_comp"), "n"), "open")
+        left = spread(placed, open_.drop("n"), "bucket", F.col("cls"), total, open_.select("bucket", "n"))
         if turn < rounds:
-            head = left.where("rep = leader").select("bucket", F.col("rep").alias("head"), F.col("comp").alias("head_comp"))
-            pairs = left.join(head, "bucket").where("comp <> head_comp").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b"))
-            new = written(likely(pairs.distinct().join(tried, ["a", "b"], "left_anti")), "pairs")
+            pairs = left.where("comp <> head_comp").select(F.least("cls", "head").alias("x"), F.greatest("cls", "head").alias("y")).distinct()
+            new = likely(pairs.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
         else:
-            new = written(last_pairs(left, reps, sets, percent, low).join(tried, ["a", "b"], "left_anti"), "pairs")
+            new = last_pairs(written(left.select("cls", "comp").distinct(), "left"), reps, sets, percent, low)
+        new = written(new, "pairs")
         if not new.limit(1).count():
             if turn < rounds:
                 continue
             break
         found = written(confirmed(new, sets, percent), "links")
-        tried = tried.union(new)
+        tried = tried.union(new.select("x", "y"))
         if found.limit(1).count():
             links = links.union(found)
             comps = components(links)
-    owners = reps.select("hi", "lo", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("comp", "rep").alias("comp"))
-    out = table.select("doc_id", "n_shingles", "hi", "lo").join(owners, ["hi", "lo"], "left")
+    owners = reps.select("cls", "rep", "copies").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
+    out = spread(table.select("doc_id", "n_shingles", "cls"), owners, "cls", F.coalesce("doc_id", F.lit(0)), table.count(), reps.select("cls", F.col("copies").alias("n")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def keep(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs, all columns, without those that groups() doesn't keep: one document of each group stays."""
-    dropped = groups(docs, **params).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    dropped = groups(docs, **params).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("dropped_id")).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped["dropped_id"], "left_anti")

@@ -373,6 +373,38 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert neardup.keep(docs).columns == docs.columns
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """Rows that share an id are linked, whatever their texts; columns with an operator's names don't clash."""
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    table = spark.createDataFrame([(5, a, 1), (5, b, 2), (9, b + " end", 3), (7, a, 4), (8, "other words in here now", 5), (None, a, 6)], "doc_id long, text string, _dropped int").selectExpr("*", "1 AS dropped_id", "2 AS cls", "3 AS kept")
+    found = neardup.groups(table).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found if r.doc_id) == [(5, 5, True), (5, 5, True), (7, 5, False), (8, 8, True), (9, 5, False)]
+    assert sorted(r._dropped for r in neardup.keep(table).collect()) == [1, 2, 5, 6]
+    apart = spark.createDataFrame([(3, a), (6, a), (6, b), (4, b), (2, "x y z")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in neardup.groups(apart).collect()) == [(2, 2), (3, 3), (4, 3), (6, 3), (6, 3)]
+
+
+def test_last_pairs_find_all_links(spark):
+    """A family whose members are 0.6 to 0.9 alike: buckets hold several components, and no link is lost."""
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    family = [(i, " ".join(w if r.random() > p else f"v{r.randrange(10**6)}" for w in base)) for i in range(300) for p in [r.choice((0.005, 0.02, 0.04, 0.06))]]
+    table = spark.createDataFrame(family, "doc_id long, text string")
+    want = brute_groups(table.collect(), 4, 80)
+    assert len({c for _, c in want.values()}) > 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(table, k=4).collect()} == want
+
+
+def test_spread_joins_hot_keys_whole(spark):
+    from arcweave.llm.common import spread
+
+    left = spark.range(5000).selectExpr("id", "IF(id % 3 = 0, 7, id % 50) AS key")
+    right = spark.range(40).selectExpr("id AS key", "id * 10 AS value")
+    for how in ("inner", "left"):
+        found = spread(left, right, "key", F.col("id"), 5000, how=how)
+        assert sorted(found.select("id", "key", "value").collect(), key=str) == sorted(left.join(right, "key", how).select("id", "key", "value").collect(), key=str)
+
+
 # archives
 
 
