@@ -7,13 +7,12 @@ Of the first 128, bands of four each name a bucket; of every minimum only two
 low bits are kept, packed into eight 64-bit numbers.  Two documents' share of equal bit pairs,
 corrected for chance, estimates their similarity, by XOR and bit counts.
 
-Documents with equal sets are one class, named by the set's 128-bit hash and
-represented by the smallest id.  Buckets of more than one class give candidates:
+Documents with equal sets (by their 128-bit hash) are one class, represented by
+the smallest id and numbered by a row that has it.  Buckets of more than one class give candidates:
   1. each class with one leader of its buckets (a star, never all pairs of a bucket);
   2. the stars of other, hashed leaders, for buckets that still hold several components;
-  3. at last, of the classes in such buckets, those of different components that
-     have one of their rarest shingles in common and sets of like size: of two
-     sets that are similar enough, the rarest 20% (and one more) of each must meet.
+  3. at last the pairs of different components within a bucket, each only in
+     the first bucket it shares, and only if their rarest shingles overlap enough.
 A pair whose estimate is more than five standard deviations below the threshold
 is dropped; the others are confirmed on the full sets.  A pair that shares no
 bucket is lost with probability (1 - 0.8^4)^32 < 1e-7 at similarity 0.8.
@@ -154,12 +153,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     total = pairs.count()
     joined = pairs
     for c in ("y", "x"):
-        joined = spread(joined, sets.select(F.col("cls").alias(c), F.col("hashes").alias(f"set_{c}")), c, F.col("x" if c == "y" else "y"), total, pairs.groupBy(c).agg(F.count("*").alias("n")))
+        joined = spread(joined, sets.select(F.col("row").alias(c), F.col("hashes").alias(f"set_{c}")), c, F.col("x" if c == "y" else "y"), total, pairs.groupBy(c).agg(F.count("*").alias("n")))
     return map_arrow(joined.select("a", "b", "set_x", "set_y"), run, "a long, b long")
 
 
 def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame:
-    """cls, rare: the first n - t n + 1 of each set's n hashes, rarest first; marks: a bit of 512 for each; hidden: how many share a bit.
+    """row, rare: the first n - t n + 1 of each set's n hashes, rarest first; marks: a bit of 512 for each; hidden: how many share a bit.
 
     The order is the same for all sets: by the count of the hash's cell (a table
     of fixed size), then by hash.
@@ -179,7 +178,7 @@ def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame
     table = np.zeros(cells, np.int64)
     table[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     shared = sets.sparkSession.sparkContext.broadcast(table)
-    schema = pa.schema([("cls", pa.binary()), ("rare", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("hidden", pa.int32())])
+    schema = pa.schema([("row", pa.int64()), ("rare", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("hidden", pa.int32())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rare, marks, hidden = [], [], []
@@ -194,86 +193,80 @@ def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame
             hidden.append(len(rare[-1]) - len(bits))
         return arrays(schema, batch.column(0), rare, marks, hidden)
 
-    return map_arrow(sets, run, "cls binary, rare array<long>, marks array<long>, hidden int")
+    return map_arrow(sets, run, "row long, rare array<long>, marks array<long>, hidden int")
 
 
 def last_pairs(left: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, low: float) -> DataFrame:
-    """Pairs of classes of left(cls, comp), of different components, that size, sketch and rarest hashes allow."""
-    rare = rare_first(sets.join(left.select("cls"), "cls", "left_semi"), percent)
-    facts = written(reps.select("cls", "rep", "n_shingles", "sketch").join(rare, "cls").join(left, "cls"), "facts")
-    needed = lambda a, b: percent * (F.col(a) + F.col(b)) / (100.0 + percent) - 1e-6
-    # sizes in steps of the threshold: the smaller set of a pair is in the step of the larger or in the one below
-    step = F.floor(F.log("n_shingles") / F.lit(np.log(100 / percent)) + 1e-9).cast("int")
-    tokens = facts.select("cls", "comp", "n_shingles", step.alias("step"), F.posexplode("rare").alias("at", "token"))
-    # a token of one class alone pairs nothing
-    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    tokens = written(tokens.join(often, "token", "left_semi"), "tokens")
-    b = tokens.select("token", "step", F.col("cls").alias("y"), F.col("comp").alias("y_comp"), F.col("n_shingles").alias("y_n"), F.col("at").alias("y_at"))
-    a = tokens.select("token", F.explode(F.array(F.col("step"), F.col("step") - 1)).alias("step"), F.col("cls").alias("x"), F.col("comp").alias("x_comp"), F.col("n_shingles").alias("x_n"), F.col("at").alias("x_at"))
-    larger = F.struct("x_n", "x") > F.struct("y_n", "y")
-    sized = 100 * F.col("y_n") >= percent * F.col("x_n")
-    placed = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) + F.least("x_at", "y_at") >= needed("x_n", "y_n")
-    met = a.join(b, ["token", "step"]).where(larger & sized & placed & (F.col("x_comp") != F.col("y_comp"))).select("x", "y").distinct()
-    x = facts.select(F.col("cls").alias("x"), *(F.col(c).alias(f"x_{c}") for c in ("rep", "n_shingles", "sketch", "rare", "marks", "hidden")))
-    y = facts.select(F.col("cls").alias("y"), *(F.col(c).alias(f"y_{c}") for c in ("rep", "n_shingles", "sketch", "rare", "marks", "hidden")))
+    """Pairs (x, y) of classes, of different components of a bucket, each in the first bucket they share, that size, sketch and rarest hashes allow."""
+    rare = rare_first(sets.join(left.select("row").distinct(), "row", "left_semi"), percent)
+    facts = written(reps.select("row", "rep", "n_shingles", "sketch", "bands").join(rare, "row"), "facts")
+    rows = left.select("bucket", "row", "comp").join(facts, "row")
+    a = rows.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("row", "rep", "comp", "n_shingles", "sketch", "bands", "rare", "marks", "hidden")))
+    b = rows.select(F.col("bucket").alias("b_bucket"), *(F.col(c).alias(f"b_{c}") for c in ("row", "rep", "comp", "n_shingles", "sketch", "bands", "rare", "marks", "hidden")))
+    larger = F.struct("a_n_shingles", "a_row") > F.struct("b_n_shingles", "b_row")
+    sized = (F.col("a_comp") != F.col("b_comp")) & (100 * F.col("b_n_shingles") >= percent * F.col("a_n_shingles"))
     # what two sets share beyond the common part of their rarest is at most what either leaves over
-    rest = F.greatest(F.col("x_n_shingles") - F.size("x_rare"), F.col("y_n_shingles") - F.size("y_rare"))
-    marked = F.col("x_hidden") + sum((F.bit_count(F.col("x_marks")[i].bitwiseAND(F.col("y_marks")[i])) for i in range(8)), F.lit(0))  # no fewer than they share
-    enough = needed("x_n_shingles", "y_n_shingles") - rest
-    alike = (estimate(F.col("x_sketch"), F.col("y_sketch")) >= low) & (marked >= enough) & (F.size(F.array_intersect("x_rare", "y_rare")) >= enough)
-    return met.join(x, "x").join(y, "y").where(alike).select("x", "y", F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+    rest = F.greatest(F.col("a_n_shingles") - F.size("a_rare"), F.col("b_n_shingles") - F.size("b_rare"))
+    needed = percent * (F.col("a_n_shingles") + F.col("b_n_shingles")) / (100.0 + percent) - rest - 1e-6
+    marked = F.col("a_hidden") + sum((F.bit_count(F.col("a_marks")[i].bitwiseAND(F.col("b_marks")[i])) for i in range(8)), F.lit(0))  # no fewer than they share
+    alike = (estimate(F.col("a_sketch"), F.col("b_sketch")) >= low) & (marked >= needed) & (F.size(F.array_intersect("a_rare", "b_rare")) >= needed)
+    common = F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    pairs = a.join(b, (F.col("bucket") == F.col("b_bucket")) & larger & sized & alike & (F.get(common, F.lit(0)) == F.col("bucket")))
+    return pairs.select(F.col("a_row").alias("x"), F.col("b_row").alias("y"), F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     low = percent / 100 - 5 * 0.03
-    table = written(signed(docs, k), "signed")
+    table = written(signed(docs, k).withColumn("row", F.monotonically_increasing_id()), "signed")
     some = table.where(F.col("doc_id").isNotNull() & F.col("cls").isNotNull())
-    reps = some.groupBy("cls").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "bands")).alias("r"), F.count("*").alias("copies"))
-    reps = written(reps.select("cls", F.col("r.doc_id").alias("rep"), "r.n_shingles", "r.sketch", "r.bands", "copies"), "reps")
+    reps = some.groupBy("cls").agg(F.min(F.struct("doc_id", "row", "n_shingles", "sketch", "bands")).alias("r"), F.count("*").alias("copies"))
+    reps = written(reps.select("cls", F.col("r.doc_id").alias("rep"), "r.row", "r.n_shingles", "r.sketch", "r.bands", "copies"), "reps")
     several = some.groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("doc_id")
     same_id = written(some.join(several, "doc_id", "left_semi").select("doc_id", "cls").join(reps.select("cls", "rep"), "cls").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "same_id")
-    entries = reps.select(F.explode("bands").alias("bucket"), "cls", "rep")
-    shared = written(entries.groupBy("bucket").agg(F.min(F.struct("rep", "cls")).alias("r"), F.count("*").alias("n")).where("n > 1").select("bucket", F.col("r.cls").alias("leader"), "n"), "buckets")
+    entries = reps.select(F.explode("bands").alias("bucket"), "row")
+    shared = written(entries.groupBy("bucket").agg(F.min("row").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = written(spread(entries, shared.select("bucket", "leader"), "bucket", F.col("cls"), total, shared.select("bucket", "n")), "members")
-    sketches = reps.select("cls", "rep", "n_shingles", "sketch")
+    members = written(spread(entries, shared.select("bucket", "leader"), "bucket", F.col("row"), total, shared.select("bucket", "n")), "members")
+    ids = reps.select("row", "rep")
+    sketches = reps.select("row", "rep", "n_shingles", "sketch")
 
     def likely(pairs: DataFrame) -> DataFrame:
         """Of pairs (x, y) of classes, those whose set sizes and sketches allow the threshold, with their ids (a, b)."""
         pairs = written(pairs, "stars")
-        x = sketches.select(F.col("cls").alias("x"), F.col("rep").alias("a"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
-        y = sketches.select(F.col("cls").alias("y"), F.col("rep").alias("b"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("sy"))
+        x = sketches.select(F.col("row").alias("x"), F.col("rep").alias("a"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
+        y = sketches.select(F.col("row").alias("y"), F.col("rep").alias("b"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("sy"))
         sized = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
         return spread(pairs.join(y, "y"), x, "x", F.col("y"), pairs.count(), pairs.groupBy("x").agg(F.count("*").alias("n"))).where(sized & (estimate(F.col("sx"), F.col("sy")) >= low)).select("x", "y", "a", "b")
 
-    stars = members.where("cls <> leader").select(F.col("leader").alias("x"), F.col("cls").alias("y")).distinct()
-    first = written(likely(stars).groupBy("y").agg(F.min(F.struct("a", "x", "b")).alias("r")).select("r.x", "y", "r.a", "r.b"), "pairs")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    schema = pa.schema([("cls", pa.binary()), ("hashes", pa.binary())])
+    stars = members.where("row <> leader").select(F.col("leader").alias("x"), F.col("row").alias("y")).distinct()
+    first = written(likely(stars).groupBy("y").agg(F.min(F.struct("x", "a", "b")).alias("r")).select("r.x", "y", "r.a", "r.b"), "pairs")
+    wanted = members.select("row").distinct().join(reps.select("row", F.col("rep").alias("doc_id"), "cls"), "row")
+    schema = pa.schema([("row", pa.int64()), ("hashes", pa.binary())])
     cache = WordHash()
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Each text's set, if it is the one of the class (texts of one id may differ)."""
         sets = [shingles(t, k, cache).tobytes() for t in bytes_list(batch, "text")]
-        return arrays(schema, [xxhash.xxh3_128_digest(s) for s in sets], sets)
+        own = [xxhash.xxh3_128_digest(s) == c for s, c in zip(sets, batch.column(2).to_pylist(), strict=True)]
+        return arrays(schema, batch.column(0), sets).filter(pa.array(own, pa.bool_()))
 
-    texts = id_text(docs).join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = written(map_arrow(texts, whole, "cls binary, hashes binary").dropDuplicates(["cls"]), "sets")
+    texts = id_text(docs).join(wanted, "doc_id").select("row", "text", "cls")
+    sets = written(map_arrow(texts, whole, "row long, hashes binary").dropDuplicates(["row"]), "sets")
     links = written(confirmed(first, sets, percent), "links").union(same_id)
     tried = first.select("x", "y")
     comps = components(links)
     for turn in range(rounds + 1):
-        placed = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "cls", F.coalesce("comp", "rep").alias("comp"))
-        placed = written(placed, "placed")
-        open_ = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("cls", "comp"), F.xxhash64("cls", F.lit(turn))).alias("head"), F.count("*").alias("n")).where("least < most")
-        open_ = written(open_.select("bucket", F.col("head.cls").alias("head"), F.col("head.comp").alias("head_comp"), "n"), "open")
-        left = spread(placed, open_.drop("n"), "bucket", F.col("cls"), total, open_.select("bucket", "n"))
+        labelled = ids.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("row", F.coalesce("comp", "rep").alias("comp"))
+        placed = written(members.select("bucket", "row").join(labelled, "row"), "placed")
+        open_ = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("row", "comp"), F.xxhash64("row", F.lit(turn))).alias("head"), F.count("*").alias("n")).where("least < most")
+        open_ = written(open_.select("bucket", F.col("head.row").alias("head"), F.col("head.comp").alias("head_comp"), "n"), "open")
+        left = spread(placed, open_.drop("n"), "bucket", F.col("row"), total, open_.select("bucket", "n"))
         if turn < rounds:
-            pairs = left.where("comp <> head_comp").select(F.least("cls", "head").alias("x"), F.greatest("cls", "head").alias("y")).distinct()
-            new = likely(pairs.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti"))
+            pairs = left.where("comp <> head_comp").select(F.least("row", "head").alias("x"), F.greatest("row", "head").alias("y")).distinct()
         else:
-            new = last_pairs(written(left.select("cls", "comp").distinct(), "left"), reps, sets, percent, low)
-        new = written(new, "pairs")
+            pairs = written(last_pairs(written(left.select("bucket", "row", "comp"), "left"), reps, sets, percent, low), "met").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        new = written(likely(pairs.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")), "pairs")
         if not new.limit(1).count():
             if turn < rounds:
                 continue
