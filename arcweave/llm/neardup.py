@@ -157,6 +157,36 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_arrow(joined.select("a", "b", "set_x", "set_y"), run, "a long, b long")
 
 
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int, bits: int = 1 << 25) -> DataFrame:
+    """row, hashes: the sets of the classes wanted(row, doc_id, cls).
+
+    A map of fixed size, a bit for each id's hash, tells most of the other texts
+    apart where they are read, so texts aren't shuffled: only the sets are.
+    """
+    place = lambda ids: mixed(ids.astype(np.uint64)) % np.uint64(bits)
+    marked = pa.schema([("word", pa.int64()), ("mask", pa.int64())])
+
+    def mark(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = place(batch.column(0).to_numpy())
+        return arrays(marked, (at >> np.uint64(6)).astype(np.int64), (np.uint64(1) << (at & np.uint64(63))).view(np.int64))
+
+    rows = map_arrow(wanted.select("doc_id"), mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    table = np.zeros(bits // 64, np.uint64)
+    table[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("hashes", pa.binary())])
+    cache = WordHash()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = place(batch.column(0).to_numpy())
+        batch = batch.filter(pa.array((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0))
+        sets = [shingles(t, k, cache).tobytes() for t in bytes_list(batch, "text")]
+        return arrays(schema, batch.column(0), [xxhash.xxh3_128_digest(s) for s in sets], sets)
+
+    found = map_arrow(id_text(docs).where("doc_id IS NOT NULL"), run, "doc_id long, cls binary, hashes binary").dropDuplicates(["doc_id", "cls"])
+    return found.join(wanted, ["doc_id", "cls"]).select("row", "hashes")
+
+
 def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame:
     """row, rare: the first n - t n + 1 of each set's n hashes, rarest first; marks: a bit of 512 for each; hidden: how many share a bit.
 
@@ -241,18 +271,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> D
 
     stars = members.where("row <> leader").select(F.col("leader").alias("x"), F.col("row").alias("y")).distinct()
     first = written(likely(stars).groupBy("y").agg(F.min(F.struct("x", "a", "b")).alias("r")).select("r.x", "y", "r.a", "r.b"), "pairs")
-    wanted = members.select("row").distinct().join(reps.select("row", F.col("rep").alias("doc_id"), "cls"), "row")
-    schema = pa.schema([("row", pa.int64()), ("hashes", pa.binary())])
-    cache = WordHash()
-
-    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Each text's set, if it is the one of the class (texts of one id may differ)."""
-        sets = [shingles(t, k, cache).tobytes() for t in bytes_list(batch, "text")]
-        own = [xxhash.xxh3_128_digest(s) == c for s, c in zip(sets, batch.column(2).to_pylist(), strict=True)]
-        return arrays(schema, batch.column(0), sets).filter(pa.array(own, pa.bool_()))
-
-    texts = id_text(docs).join(wanted, "doc_id").select("row", "text", "cls")
-    sets = written(map_arrow(texts, whole, "row long, hashes binary").dropDuplicates(["row"]), "sets")
+    wanted = written(members.select("row").distinct().join(reps.select("row", F.col("rep").alias("doc_id"), "cls"), "row"), "wanted")
+    sets = written(sets_of(docs, wanted, k), "sets")
     links = written(confirmed(first, sets, percent), "links").union(same_id)
     tried = first.select("x", "y")
     comps = components(links)
