@@ -10,6 +10,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave.functions.session import stored
 from arcweave.operators import graph, tasks
 from arcweave.sources import ntriples, tables
 
@@ -74,13 +75,12 @@ def run_confmatrix(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def run_import(spark: SparkSession, args: argparse.Namespace) -> None:
     triples = ntriples.abbreviate_triples(ntriples.scan(spark, args.triples), ntriples.namespaces(spark, args.namespaces), args.properties)
-    nodes = graph.vertices(triples)
     tables.write_triples(triples, f"{args.output}/triples")
+    nodes, edges = graph.adjacency(triples)
     nodes.write.csv(f"{args.output}/nodes", sep=" ")
-    arcs = graph.collapsed(triples)
-    arcs.write.parquet(f"{args.output}/edges")
-    ids = arcs.join(nodes.select(F.col("uri").alias("subject"), F.col("id").alias("row")), "subject").join(nodes.select(F.col("uri").alias("object"), F.col("id").alias("col")), "object")
-    ids.select("row", "col", F.lit(1.0).alias("weight")).write.parquet(f"{args.output}/adjacency")
+    edges = stored(edges, "edges")
+    edges.write.parquet(f"{args.output}/edges")
+    edges.select("row", "col", F.lit(1.0).alias("weight")).write.parquet(f"{args.output}/adjacency")
 
 
 def run_onto(spark: SparkSession, args: argparse.Namespace) -> None:

@@ -15,8 +15,13 @@ def dist_to_sim(x: Column) -> Column:
 
 
 def sim_to_dist(w: Column) -> Column:
-    """Distance of a similarity in (0, 1]; rounded, so that degree weights give whole numbers."""
-    return F.round(F.lit(1.0) / w - F.lit(1.0), 9)
+    """Distance of a similarity in (0, 1]: 1 / w - 1, and the whole number next to it if they differ by no more than the division's rounding.
+
+    Degree weights so give whole numbers, whose sums are exact; no other distance changes.
+    """
+    inverse = F.lit(1.0) / w
+    whole = F.round(inverse)
+    return F.when(F.abs(inverse - whole) <= F.lit(1e-15) * inverse, whole).otherwise(inverse) - F.lit(1.0)
 
 
 def dombi(a: Column, b: Column, checked: bool = True) -> Column:

@@ -1,12 +1,14 @@
 """Path closures by frontier relaxation.
 
-The state holds one row for each (key, node) reached: the least cost of a path
-from the key's start, and its hops.  A round joins the rows that changed in the
-last round with the edges, keeps the best candidate of each (key, node) and
-merges it into the state where it is strictly better.  Costs never fall along a
-path, so the loop ends; a node's value is final with the fewest hops of an
-optimal path.  Each round is one written table, read back with known sizes: the
-planner broadcasts the smaller side where it is small, and splits hot nodes.
+The state holds the best row of each (key, node) reached: the least cost of a
+path from the key's start, and its hops.  A round joins the rows that changed in
+the last round with the edges, keeps the best candidate of each (key, node), and
+writes those that are better than the state's: only changed rows are written.
+Costs never fall along a path, so the loop ends; a node's value is final with the
+fewest hops of an optimal path.  All tables are written and read back with known
+sizes: the planner broadcasts the smaller side where it is small, and splits hot
+nodes.  Once the state is large, candidates are written too, so that a few of
+them are broadcast to the state instead of the state being shuffled.
 """
 
 from __future__ import annotations
@@ -15,43 +17,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.functions.semiring import Semiring, kind_of
-from arcweave.functions.session import missing, written, written_with
+from arcweave.functions.session import Levels, missing, stored, written, written_with
 from arcweave.operators.graph import links
 
+#: Rows of state from which on candidates are written before they meet it.
+LARGE = 1_000_000
 
-def relax(edges: DataFrame, seeds: DataFrame, semiring: Semiring, banned: DataFrame | None = None, paths: bool = False, targets: DataFrame | None = None, max_hops: int | None = None) -> DataFrame:
-    """key, node, cost, hops [, path] from seeds(key, node).
+
+def best_rows(paths: bool):
+    """Of rows (key, node, cost, hops [, path]), the one of least cost of each (key, node)."""
+    fields = ("cost", "hops", "path") if paths else ("cost", "hops")
+
+    def merge(df: DataFrame) -> DataFrame:
+        found = df.groupBy("key", "node").agg(F.min(F.struct(*fields)).alias("b"))
+        return found.select("key", "node", *(F.col(f"b.{c}").alias(c) for c in fields))
+
+    return merge
+
+
+def relax(edges: DataFrame, seeds: DataFrame, semiring: Semiring, banned: DataFrame | None = None, paths: bool = False, targets: DataFrame | None = None) -> DataFrame:
+    """key, node, cost, hops [, path] from seeds(key, node [, cost]); a seed without a cost starts a path.
 
     banned(key, node): a first step that the key may not take.  paths: also one
     optimal path, of fewest hops, the smallest by its nodes within a round.
     targets(key, node): stop as soon as no changed row could still better one.
     """
-    edges = written(links(edges).select("src", "dst", semiring.of(F.col("weight")).alias("step")), "edges")
-    extra = [F.array("node").alias("path")] if paths else []
-    state = seeds.distinct().select("key", "node", F.lit(semiring.start).alias("cost"), F.lit(0).alias("hops"), *extra, F.lit(True).alias("fresh"))
-    state = written(state, "state")
+    edges = stored(edges, "edges")
+    steps = links(edges).select("src", "dst", semiring.of(F.col("weight")).alias("step"))
+    fields = ["key", "node", "cost", "hops", *(["path"] if paths else [])]
+    if "cost" not in seeds.columns:
+        seeds = seeds.distinct().withColumn("cost", F.lit(semiring.start))
+    seeds = seeds.withColumn("hops", F.lit(0)).withColumn("path", F.array("node"))
+    levels = Levels("state", best_rows(paths))
+    front, n = written_with(seeds.select(*fields), "state")
     hops = 0
-    while True:
+    while n:
+        levels.add(front, n)
         hops += 1
-        front = state.where("fresh")
-        moved = front.join(edges, front.node == edges.src).select("key", F.col("dst").alias("node"), semiring.add(F.col("cost"), F.col("step")).alias("cost"), *([F.array_append("path", F.col("dst")).alias("path")] if paths else []))
+        moved = front.join(steps, front.node == steps.src).select("key", F.col("dst").alias("node"), semiring.add(F.col("cost"), F.col("step")).alias("cost"), *([F.array_append("path", F.col("dst")).alias("path")] if paths else []))
         if banned is not None and hops == 1:
             moved = moved.join(banned, ["key", "node"], "left_anti")
         if paths:
-            best = moved.groupBy("key", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select("key", "node", F.col("b.cost").alias("new_cost"), F.col("b.path").alias("new_path"))
+            best = moved.groupBy("key", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select("key", "node", F.col("b.cost").alias("cost"), F.col("b.path").alias("path"))
         else:
-            best = moved.groupBy("key", "node").agg(F.min("cost").alias("new_cost"))
-        merged = state.drop("fresh").join(best, ["key", "node"], "full")
-        better = F.col("new_cost").isNotNull() & (F.col("cost").isNull() | (F.col("new_cost") < F.col("cost")))
-        out = [F.when(better, F.col("new_cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.lit(hops)).otherwise(F.col("hops")).alias("hops")]
-        out += [F.when(better, F.col("new_path")).otherwise(F.col("path")).alias("path")] if paths else []
-        state, changed = written_with(merged.select("key", "node", *out, better.alias("fresh")), "state", "fresh")
-        if not changed or hops == max_hops:
-            return state.drop("fresh")
-        if targets is not None:
-            worst = targets.join(state.select("key", "node", "cost"), ["key", "node"], "left").groupBy("key").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("worst"))
-            if missing(state.where("fresh").join(worst, "key").where(F.col("cost") < F.col("worst"))):
-                return state.drop("fresh")
+            best = moved.groupBy("key", "node").agg(F.min("cost").alias("cost"))
+        known = levels.union().select("key", "node", F.col("cost").alias("known"))
+        if levels.count() > LARGE:
+            best = written(best, "candidates")
+            known = known.join(best.select("key", "node"), ["key", "node"], "left_semi")
+        known = known.groupBy("key", "node").agg(F.min("known").alias("known"))
+        better = best.join(known, ["key", "node"], "left").where(F.col("known").isNull() | (F.col("cost") < F.col("known")))
+        front, n = written_with(better.withColumn("hops", F.lit(hops)).select(*fields), "state")
+        if n and targets is not None:
+            reached = levels.union().union(front).select("key", "node", "cost").join(targets, ["key", "node"], "left_semi").groupBy("key", "node").agg(F.min("cost").alias("cost"))
+            worst = targets.join(reached, ["key", "node"], "left").groupBy("key").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("worst"))
+            if missing(front.join(worst, "key").where(F.col("cost") < F.col("worst"))):
+                levels.add(front, n)
+                break
+    return levels.all() if levels.parts else front
 
 
 def closure(edges: DataFrame, sources: DataFrame, kind: str = "ultrametric", paths: bool = False) -> DataFrame:
@@ -79,6 +102,7 @@ def in_range(df: DataFrame, column: str, start: int | None = None, offset: int |
 
 def closure_all(edges: DataFrame, kind: str = "ultrametric", start: int | None = None, offset: int | None = None, paths: bool = False) -> DataFrame:
     """closure() from every node that has an edge, or (numeric nodes) from those in a range."""
+    edges = stored(edges, "edges")
     nodes = links(edges).select("src").union(links(edges).select("dst")).distinct()
     return closure(edges, in_range(nodes, "src", start, offset), kind, paths)
 
@@ -99,7 +123,7 @@ def epistemic(edges: DataFrame, sources: DataFrame, kind: str = "ultrametric", p
 
     One relaxation serves all targets of a source.
     """
-    semiring = kind_of(kind)
+    semiring, edges = kind_of(kind), stored(edges, "edges")
     seeds = sources.select(F.col("src").alias("key"), F.col("src").alias("node")).distinct()
     found = relax(edges, seeds, semiring, paths=paths)
     reached = through_neighbours(found, edges, paths)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcweave.functions.semiring import dist_to_sim
+from arcweave.functions.session import stored, written
 
 
 def edges_of(records: DataFrame, src: str = "src", dst: str = "dst", weight: str | None = "weight") -> DataFrame:
@@ -82,9 +83,6 @@ def vertices(triples: DataFrame) -> DataFrame:
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
     """df with a number from 0 in the order of a column of distinct values."""
-    from arcweave.functions.session import written
-    from pyspark.sql import Window
-
     parts = written(df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()), "parts")
     sizes = parts.groupBy("_part").count().select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
@@ -96,6 +94,14 @@ def collapsed(triples: DataFrame) -> DataFrame:
     return triples.groupBy("subject", "object").agg(F.concat_ws(",", F.array_sort(F.collect_list("predicate"))).alias("predicates"))
 
 
+def adjacency(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes: id, uri; edges: k, row, col, predicates): arcs of each pair of nodes as one edge, numbered from 0 by their names."""
+    nodes = stored(vertices(triples), "nodes")
+    arcs = numbered(collapsed(triples).withColumn("_ends", F.struct("subject", "object")), "_ends", "k").drop("_ends")
+    rows = arcs.join(nodes.select(F.col("uri").alias("subject"), F.col("id").alias("row")), "subject")
+    return nodes, rows.join(nodes.select(F.col("uri").alias("object"), F.col("id").alias("col")), "object").select("k", "row", "col", "predicates")
+
+
 def grouped(df: DataFrame, key: Column, value: str, pattern: str = "%s") -> DataFrame:
     """key (formatted) and the sorted values of each group."""
     return df.groupBy(F.format_string(pattern, key).alias("key")).agg(F.array_sort(F.collect_list(value)).alias("values"))

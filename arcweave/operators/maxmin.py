@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.functions.session import written, written_with
-from arcweave.operators.closure import in_range
+from arcweave.functions.semiring import ULTRAMETRIC
+from arcweave.functions.session import stored, written, written_with
+from arcweave.operators.closure import in_range, relax
 
 
 def product(left: DataFrame, right: DataFrame | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
@@ -26,11 +27,22 @@ def maximum(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
-def fixpoint(edges: DataFrame, max_rounds: int = 1000, dump: str | None = None) -> DataFrame:
-    """A <- max(A, A o A) until nothing rises; the diagonal holds the best cycle.  Rounds grow with the logarithm of the longest path.
+def fixpoint(edges: DataFrame) -> DataFrame:
+    """The least A with A >= edges and A >= A o A; the diagonal holds the best cycle.
 
-    Each round multiplies only what rose in the last one, from both sides.
-    dump: a folder that gets each round's table.
+    By relaxation with the edges: a round's work is the rows that rose times the
+    edges of their nodes, where squaring multiplies the whole matrix.
+    """
+    edges = stored(edges.where("weight > 0").groupBy("src", "dst").agg(F.max("weight").alias("weight")), "edges")
+    found = relax(edges, edges.select(F.col("src").alias("key"), F.col("dst").alias("node"), ULTRAMETRIC.of(F.col("weight")).alias("cost")), ULTRAMETRIC)
+    return found.select(F.col("key").alias("src"), F.col("node").alias("dst"), ULTRAMETRIC.back(F.col("cost")).alias("weight"))
+
+
+def squared(edges: DataFrame, max_rounds: int = 1000, dump: str | None = None) -> DataFrame:
+    """fixpoint() by A <- max(A, A o A): rounds grow with the logarithm of the longest path.
+
+    Each round multiplies only what rose in the last one, from both sides.  dump:
+    a folder that gets each round's table.  More than max_rounds are an error.
     """
     state = written(edges.where("weight > 0").groupBy("src", "dst").agg(F.max("weight").alias("weight")).withColumn("fresh", F.lit(True)), "state")
     for turn in range(max_rounds):
@@ -42,5 +54,5 @@ def fixpoint(edges: DataFrame, max_rounds: int = 1000, dump: str | None = None)
         if dump:
             state.drop("fresh").write.mode("overwrite").parquet(f"{dump}/closure_{turn}")
         if not changed:
-            break
-    return state.drop("fresh")
+            return state.drop("fresh")
+    raise RuntimeError(f"no fixpoint within {max_rounds} rounds")

@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from arcweave.functions.session import written
 
-def ccdf(df: DataFrame, column: str) -> DataFrame:
-    """x, y: share of values above x, ties at the middle of their ranks.
 
-    Equal values are counted first, so the one ordered window holds distinct values only.
+def placed(df: DataFrame, column: str) -> DataFrame:
+    """x, n (how often), upto (values up to x), total.
+
+    Equal values are counted first; running sums go by ranges of x: each part
+    sums its own, and only the parts' sums meet in one task.
     """
     counts = df.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy())
-    placed = counts.withColumn("upto", upto).withColumn("total", total)
+    parts = written(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "counts")
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("part").agg(F.sum("n").alias("size")).select("part", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("inside", inside).join(F.broadcast(sizes), "part").select("x", "n", (F.col("before") + F.col("inside")).alias("upto"), "total")
+
+
+def ccdf(df: DataFrame, column: str) -> DataFrame:
+    """x, y: share of values above x, ties at the middle of their ranks."""
     rank = F.col("upto") - F.col("n") + 1 + (F.col("n") - 1) / 2
-    return placed.select("x", ((F.col("total") - rank) / F.col("total")).alias("y"))
+    return placed(df, column).select("x", ((F.col("total") - rank) / F.col("total")).alias("y"))
 
 
-def ccdf_ordinal(df: DataFrame, column: str) -> DataFrame:
-    """x, y with a rank of its own for each of equal values."""
-    counts = df.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("n"))
-    placed = counts.withColumn("upto", F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    ranks = placed.select("x", "total", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"))).alias("rank"))
+def ccdf_ordinal(df: DataFrame, column: str, block: int = 1 << 16) -> DataFrame:
+    """x, y with a rank of its own for each of equal values; ranks are made by blocks, so no row holds all of a frequent value's."""
+    blocks = placed(df, column).select("x", "total", "upto", F.explode(F.sequence(F.col("upto") - F.col("n") + 1, F.col("upto"), F.lit(block).cast("long"))).alias("first"))
+    ranks = blocks.repartition("x", "first").select("x", "total", F.explode(F.sequence("first", F.least(F.col("upto"), F.col("first") + block - 1))).alias("rank"))
     return ranks.select("x", ((F.col("total") - F.col("rank")) / F.col("total")).alias("y"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcweave.functions.semiring import kind_of
-from arcweave.functions.session import written
+from arcweave.functions.session import stored, written
 from arcweave.operators.closure import closure, epistemic, in_range, relax, through_neighbours
 from arcweave.operators.graph import links
 
@@ -18,6 +18,7 @@ def is_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Co
 
 def backbone(edges: DataFrame, kind: str = "ultrametric", start: int | None = None, offset: int | None = None) -> DataFrame:
     """src, dst of the edges whose weight equals their closure; start, offset: a range of (numeric) sources."""
+    edges = stored(edges, "edges")
     own = in_range(links(edges), "src", start, offset).where("weight > 0")
     found = closure(edges, own.select("src").distinct(), kind).select("src", "dst", "prox")
     return own.join(found, ["src", "dst"]).where(is_close(F.col("weight"), F.col("prox"))).select("src", "dst")
@@ -31,7 +32,7 @@ def link_prediction(edges: DataFrame, pairs: DataFrame, kind: str = "ultrametric
     whose first step to dst is banned, in the same relaxation.
     """
     semiring = kind_of(kind)
-    edges = links(edges)
+    edges = stored(links(edges), "edges")
     wanted = pairs.select("src", "dst").distinct().join(edges.select("src", "dst").distinct().withColumn("removed", F.lit(True)), ["src", "dst"], "left")
     wanted = wanted.withColumn("removed", F.coalesce("removed", F.lit(False)) & (F.col("src") != F.col("dst")))
     wanted = written(wanted.withColumn("key", F.struct("src", F.when(F.col("removed"), F.col("dst")).alias("ban"))), "pairs")

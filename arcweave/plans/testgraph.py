@@ -27,20 +27,28 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supplier.union(customer).union(arcs(table(spark, sf_dir, "nation"), node("nation", "n_nationkey"), "inRegion", node("region", "n_regionkey")))
 
 
-def sold(spark: SparkSession, sf_dir: str, parts: int | None) -> DataFrame:
-    """Lineitem rows of the parts up to a key; None: all."""
-    rows = table(spark, sf_dir, "lineitem")
-    return rows if parts is None else rows.where(F.col("l_partkey") <= parts)
+def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with their suppliers, those in nations in regions: all rows of lineitem and supplier."""
+    first = arcs(table(spark, sf_dir, "lineitem"), node("part", "l_partkey"), "soldBy", node("supplier", "l_suppkey")).distinct()
+    second = arcs(table(spark, sf_dir, "supplier"), node("supplier", "s_suppkey"), "inNation", node("nation", "s_nationkey"))
+    return first.union(second).union(regions(spark, sf_dir))
 
 
-def supply(spark: SparkSession, sf_dir: str, parts: int | None) -> DataFrame:
-    """Parts up to a key with their suppliers, those in nations in regions; None: all parts and all suppliers."""
-    rows, near = sold(spark, sf_dir, parts), table(spark, sf_dir, "supplier")
-    if parts is not None:
-        near = near.join(rows.select(F.col("l_suppkey").alias("s_suppkey")).distinct(), "s_suppkey", "left_semi")
-    first = arcs(rows, node("part", "l_partkey"), "soldBy", node("supplier", "l_suppkey")).distinct()
-    second = arcs(near, node("supplier", "s_suppkey"), "inNation", node("nation", "s_nationkey"))
-    return first.union(second).union(arcs(table(spark, sf_dir, "nation"), node("nation", "n_nationkey"), "inRegion", node("region", "n_regionkey")))
+def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arcs(table(spark, sf_dir, "nation"), node("nation", "n_nationkey"), "inRegion", node("region", "n_regionkey"))
+
+
+def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations whose customers bought from nations' suppliers, over all lineitem, orders, customer and supplier rows, and their regions."""
+    sales = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    buyers = sales.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    both = buyers.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").select("c_nationkey", "s_nationkey").distinct()
+    return arcs(both, node("nation", "c_nationkey"), "buysFrom", node("nation", "s_nationkey")).union(regions(spark, sf_dir))
+
+
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flows(), and all suppliers in their nations: a graph with cycles whose pairs of nodes can all be listed."""
+    return flows(spark, sf_dir).union(arcs(table(spark, sf_dir, "supplier"), node("supplier", "s_suppkey"), "inNation", node("nation", "s_nationkey")))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +71,6 @@ def counted(triples: DataFrame) -> DataFrame:
     return graph.edges_of(triples, "subject", "object", None)
 
 
-def proximity(spark: SparkSession, sf_dir: str, parts: int | None, undirected: bool = True) -> DataFrame:
-    """The supply graph with degree weights."""
-    return graph.weighted(plain(supply(spark, sf_dir, parts)), "degree", undirected)
+def proximity(triples: DataFrame, weight: str = "degree") -> DataFrame:
+    """Arcs as an undirected graph with degree weights."""
+    return graph.weighted(plain(triples), weight, True)

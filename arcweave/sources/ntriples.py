@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave.functions.session import written
+
 #: Type of a typed literal: lexical form, then ^^<uri>.
 TYPED = r'^(.*\^\^)<([^>]*)>$'
 
@@ -28,20 +30,24 @@ def namespaces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(parts[0].alias("ns"), parts[1].alias("abbr"))
 
 
-def abbreviated(df: DataFrame, column: str, spaces: DataFrame, strict: bool = False) -> DataFrame:
-    """column with its longest matching namespace replaced by `abbr:`; unmatched values stay, or (strict) are an error.
+def abbreviated(df: DataFrame, columns: list[str], spaces: DataFrame, strict: bool = False) -> DataFrame:
+    """The columns with their longest matching namespace replaced by `abbr:`; unmatched values stay, or (strict) are an error.
 
-    spaces is a namespace file's table; it becomes one map column of a literal
-    row, so nothing is shuffled: its size is checked to stay below 10,000 rows.
+    Distinct values are joined to the namespaces on their prefixes of the
+    namespaces' lengths (few, whatever the number of namespaces), the longest
+    match of each wins, and the columns are joined to it: namespaces may be any
+    number, and are broadcast only if the planner finds them small.
     """
-    rows = spaces.select("ns", "abbr").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 namespaces")
-    found = F.lit(None).cast("string")
-    for r in sorted(rows, key=lambda r: (len(r.ns), r.ns)):
-        found = F.when(F.col(column).startswith(r.ns), F.concat(F.lit(f"{r.abbr}:"), F.substr(F.col(column), F.lit(len(r.ns) + 1)))).otherwise(found)
-    missing = F.raise_error(F.concat(F.lit("no namespace for "), F.col(column))).cast("string") if strict else F.col(column)
-    return df.withColumn(column, F.coalesce(found, missing))
+    spaces = spaces.select("ns", "abbr").groupBy("ns").agg(F.max("abbr").alias("abbr"))
+    lengths = [r[0] for r in spaces.select(F.length("ns").alias("n")).distinct().orderBy("n").collect()]
+    values = df.select(F.explode(F.array(*columns)).alias("value")).distinct()
+    prefixes = F.array(*(F.when(F.length("value") >= n, F.substring("value", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")
+    hits = values.select("value", F.explode(prefixes).alias("ns")).join(spaces, "ns").groupBy("value").agg(F.max(F.struct(F.length("ns").alias("n"), "abbr")).alias("b"))
+    short = written(hits.select("value", F.concat("b.abbr", F.lit(":"), F.expr("substring(value, b.n + 1)")).alias("short")), "short")
+    for c in columns:
+        missed = F.raise_error(F.concat(F.lit("no namespace for "), F.col(c))).cast("string") if strict else F.col(c)
+        df = df.join(short.select(F.col("value").alias(c), F.col("short").alias("_short")), c, "left").withColumn(c, F.coalesce("_short", missed)).drop("_short")
+    return df
 
 
 def abbreviate_triples(triples: DataFrame, spaces: DataFrame, properties: bool = False) -> DataFrame:
@@ -54,8 +60,10 @@ def abbreviate_triples(triples: DataFrame, spaces: DataFrame, properties: bool =
         uri = F.col(c).startswith("<")
         typed = ~uri & F.col(c).endswith(">")
         out = out.withColumn(f"_{c}", F.when(uri, F.regexp_replace(c, "^<|>$", "")).when(typed, F.regexp_extract(c, TYPED, 2)).otherwise(F.lit("")))
-        out = abbreviated(out, f"_{c}", spaces)
-        out = out.withColumn(f"_lit_{c}", ~uri).withColumn(c, F.when(uri, F.col(f"_{c}")).when(typed, F.concat(F.regexp_extract(c, TYPED, 1), F.col(f"_{c}"))).otherwise(F.col(c)))
+        out = out.withColumn(f"_lit_{c}", ~uri).withColumn(f"_typed_{c}", typed)
+    out = abbreviated(out, ["_subject", "_predicate", "_object"], spaces)
+    for c in ("subject", "predicate", "object"):
+        out = out.withColumn(c, F.when(~F.col(f"_lit_{c}"), F.col(f"_{c}")).when(F.col(f"_typed_{c}"), F.concat(F.regexp_extract(c, TYPED, 1), F.col(f"_{c}"))).otherwise(F.col(c)))
     if not properties:
         out = out.where(~(F.col("_lit_subject") | F.col("_lit_predicate") | F.col("_lit_object")))
     return out.select("subject", "predicate", "object")

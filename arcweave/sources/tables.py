@@ -115,10 +115,32 @@ def write_edges(edges: DataFrame, path: str, by: str = "src", parts: int | None
     placed.sortWithinPartitions(by, other).write.parquet(path)
 
 
+def write_rows(found: DataFrame, path: str, span: int = 1000) -> None:
+    """Closure rows (src, dst, ...) as a tree: a folder for each `span` sources, rows in order of source; zero rows are left out."""
+    first = (F.floor(F.col("src") / span) * span).cast("long")
+    values = [c for c in ("prox", "value", "weight") if c in found.columns]
+    kept = found.where(F.col(values[0]) != 0) if values else found
+    kept.withColumn("first", first).repartition("first").sortWithinPartitions("first", "src", "dst").write.partitionBy("first").parquet(path)
+
+
+def read_rows(spark: SparkSession, path: str, start: int | None = None, offset: int | None = None, sources: list[int] | None = None, span: int = 1000) -> DataFrame:
+    """The rows of write_rows(): those with start <= src < start + offset, or of some sources; only their folders are read."""
+    df = spark.read.parquet(path)
+    low = 0 if start is None else start
+    if start is not None:
+        df = df.where((F.col("first") >= low - low % span) & (F.col("src") >= low))
+    if offset is not None:
+        df = df.where((F.col("first") < low + offset) & (F.col("src") < low + offset))
+    if sources is not None:
+        df = df.where(F.col("first").isin(sorted({s - s % span for s in sources})) & F.col("src").isin(list(sources)))
+    return df.drop("first")
+
+
 def write_matrix_market(edges: DataFrame, path: str, size: int, comment: str = "") -> None:
-    """Coordinates from 1 with a header; one text folder whose first part is the header."""
+    """Coordinates from 1 with a header; a text folder whose parts, in order of their names, make the file."""
     n = edges.count()
-    head = edges.sparkSession.range(1).select(F.concat(F.lit("%%MatrixMarket matrix coordinate real general\n"), F.lit(f"%{comment}\n"), F.lit(f"{size} {size} {n}")).alias("value"))
-    body = edges.select(F.concat_ws(" ", (F.col("src") + 1).cast("string"), (F.col("dst") + 1).cast("string"), F.lit("1.0")).alias("value"))
-    head.coalesce(1).write.text(path)
-    body.write.mode("append").text(path)
+    head = [f"%%MatrixMarket matrix coordinate real general\n%{comment}\n{size} {size} {n}"]
+    first = edges.sparkSession.createDataFrame([(-1, -1, h) for h in head], "src long, dst long, value string")
+    line = F.concat_ws(" ", (F.col("src") + 1).cast("string"), (F.col("dst") + 1).cast("string"), F.lit("1.0"))
+    body = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), line.alias("value"))
+    first.union(body).orderBy("src", "dst").select("value").write.text(path)
