@@ -9,23 +9,26 @@ and so is the cross-entropy above which a text is rejected.
 
 One pass over the documents, no shuffle.
 
-Null text or a text without a letter: `und`, score 0.  Ties go to the language
-that sorts first.  Empty table: no rows.  Nothing to learn from: always `und`.
+Null text or a text without a letter (Unicode's L): `und`, score 0.  Ties go to
+the language that sorts first.  Very long texts are read whole.  Repeated rows
+get equal results; rows that share an id are each learnt from and each judged.
+Empty table: no rows.  Nothing to learn from: always `und`.  Other columns are
+kept, whatever their names, by keep(), and not read by identify().
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcweave.llm.common import arrays, fold, map_arrow
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -162,8 +165,10 @@ def _posterior(model: Model, entropies: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(docs: DataFrame, order: int = 4, max_docs: int = 150, long_chars: int = 20_000, spare: float = 0.001) -> Model | None:
-    """Learn from the text and lang of documents whose fold is not 2: at most max_docs whole texts of each language.
+def fit(docs: DataFrame, order: int = 4, max_docs: int = 150, long_chars: int = 20_000, spare: float = 0.001, max_langs: int = 200, max_chars: int = 3_000_000) -> Model | None:
+    """Learn from the text and lang of documents whose fold is not 2: at most max_docs whole texts of each language, the last of which passes max_chars.
+
+    More than max_langs languages are an error: what is collected is bounded by these parameters.
 
     Texts of over long_chars characters are taken only if a language has too
     few others; within that, those with the smallest hashes of the id.  Every
@@ -172,8 +177,14 @@ def fit(docs: DataFrame, order: int = 4, max_docs: int = 150, long_chars: int =
     """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), 4) != 2) & F.col("text").rlike(r"\p{L}"))
     rank = Window.partitionBy("lang").orderBy("long", "h", "doc_id")
-    ids = usable.select("doc_id", "lang", (F.length("text") > long_chars).alias("long"), F.xxhash64("doc_id").alias("h"))
-    ids = ids.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= max_docs).select("doc_id").distinct()
+    ids = usable.select("doc_id", "lang", (F.length("text") > long_chars).alias("long"), F.xxhash64("doc_id").alias("h"), F.length("text").cast("long").alias("n"))
+    ids = ids.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= max_docs)
+    ids = ids.withColumn("before", F.sum("n").over(rank.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).where(F.col("before") < max_chars).select("doc_id", "lang").distinct().collect()
+    if len({r.lang for r in ids}) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
+    if not ids:
+        return None
+    ids = docs.sparkSession.createDataFrame([(r.doc_id,) for r in ids], docs.select("doc_id").schema).distinct()
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.text))
     if not rows:

@@ -20,12 +20,14 @@ document are joined to their counts and summed by document again.
 
 Null or empty text: the end token alone.  Repeated rows are scored each.
 Null ids: not held out, not learnt from.  Empty table: no rows.  Other columns
-are not read.  No training tokens: every count is 0, and V counts as 0.
+are not read.  Very long texts and words are scored whole, in time linear in
+them.  No training tokens: every count is 0, and V counts as 0.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,6 +41,7 @@ from arcweave.llm.common import arrays, bytes_list, fold, map_arrow, slices, wri
 
 END = b"\n"  # stands for the end token: never a word
 SPACE = "▁"  # begins each word in the vocabulary
+LONG = 256  # words of more characters are taken one by one, all their places at once
 
 
 class Lattice:
@@ -87,6 +90,63 @@ class Lattice:
                 alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[start, rows] + self.logp[pieces])
         return alpha
 
+    def matches(self, codes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, pieces), by start, of the pieces that one word has from low to high (exclusive), all places at once."""
+        n, found = len(codes), []
+        h, at = np.zeros(high - low, np.uint64), np.arange(low, high)
+        for size in range(1, min(self.longest, n - low) + 1):
+            at = at[: max(0, min(high, n - size + 1) - low)]
+            h = h[: len(at)] * np.uint64(0x9E3779B97F4A7C15) + codes[at + size - 1] + np.uint64(1)
+            i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = np.flatnonzero(self.hashes[i] == h)
+            found.append((at[hit], at[hit] + size, self.index[i[hit]]))
+        starts, ends, pieces = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(starts, kind="stable")
+        return starts[order], ends[order], pieces[order]
+
+    def blocks(self, codes: np.ndarray, back: bool = False, block: int = 1 << 16) -> Iterator[tuple]:
+        """Of one word, block by block: where it begins, the spelling's log-probabilities, bounds of each place's edges, their ends, pieces and starts."""
+        lows = range(0, len(codes), block)
+        for low in reversed(lows) if back else lows:
+            high = min(len(codes), low + block)
+            starts, ends, pieces = self.matches(codes, low, high)
+            yield low, self.spelt(codes[low:high]), np.searchsorted(starts, np.arange(low, high + 1)), ends, pieces, starts
+
+    def chain(self, codes: np.ndarray) -> array:
+        """forward() of one long word: each place passes its sum on to the ends of its edges."""
+        alpha = array("d", [-math.inf]) * (len(codes) + 1)
+        alpha[0] = 0.0
+        exp, log1p = math.exp, math.log1p
+        for low, spelt, bounds, ends, pieces, _ in self.blocks(codes):
+            bounds, ends, logp = bounds.tolist(), ends.tolist(), self.logp[pieces].tolist()
+            for j, x in enumerate(spelt.tolist()):
+                a = alpha[low + j]
+                for e, lp in ((low + j + 1, x), *zip(ends[bounds[j] : bounds[j + 1]], logp[bounds[j] : bounds[j + 1]], strict=True)):
+                    y, z = a + lp, alpha[e]
+                    alpha[e] = y + log1p(exp(z - y)) if y > z else z + log1p(exp(y - z))
+        return alpha
+
+    def chain_expect(self, codes: np.ndarray, count: float, total: np.ndarray) -> None:
+        """Adds one long word's expected counts to total."""
+        n = len(codes)
+        alpha, beta = np.frombuffer(self.chain(codes)), array("d", [-math.inf]) * (n + 1)
+        beta[n] = 0.0
+        weight = math.log(count) - alpha[n]
+        exp, log1p = math.exp, math.log1p
+        for low, spelt, bounds, ends, pieces, starts in self.blocks(codes, back=True):
+            edges, to, logp, spell = bounds.tolist(), ends.tolist(), self.logp[pieces].tolist(), spelt.tolist()
+            for j in range(len(spell) - 1, -1, -1):
+                z = beta[low + j + 1] + spell[j]
+                for k in range(edges[j], edges[j + 1]):
+                    y = beta[to[k]] + logp[k]
+                    z = y + log1p(exp(z - y)) if y > z else z + log1p(exp(y - z))
+                beta[low + j] = z
+            after = np.frombuffer(beta)
+            total[: self.byte] += np.bincount(pieces, np.exp(alpha[starts] + self.logp[pieces] + after[ends] + weight), self.byte)
+            high = low + len(spelt)
+            total[self.byte] += float((spelt / self.logp[self.byte] * np.exp(alpha[low:high] + spelt + after[low + 1 : high + 1] + weight)).sum())
+            del after
+
     def by_length(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(which words, their character codes), words of equal length together."""
         text = [SPACE + w.decode("utf-8", "replace") for w in words]
@@ -102,13 +162,20 @@ class Lattice:
         """Natural log of each word's probability."""
         out = np.zeros(len(words))
         for group, codes in self.by_length(words):
-            out[group] = self.forward(codes, list(self.edges(codes)))[-1]
+            if codes.shape[1] > LONG:
+                out[group] = [self.chain(c)[-1] for c in codes]
+            else:
+                out[group] = self.forward(codes, list(self.edges(codes)))[-1]
         return out
 
     def expect(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected count of each piece (bytes last) in the words, over all segmentations."""
         total = np.zeros(self.byte + 1)
         for group, codes in self.by_length(words):
+            if codes.shape[1] > LONG:
+                for c, count in zip(codes, counts[group].tolist(), strict=True):
+                    self.chain_expect(c, count, total)
+                continue
             edges = list(self.edges(codes))
             n = codes.shape[1]
             alpha = self.forward(codes, edges)

@@ -333,6 +333,22 @@ def test_lattice_sums_all_segmentations():
         assert np.allclose(want, model.expect([w.encode()], np.array([1.0])))
 
 
+def test_long_words_on_the_lattice(monkeypatch):
+    """Words taken one by one give what groups of words give; a word of a megabyte takes seconds."""
+    pieces, logp = lattice.vocabulary()
+    model = lattice.Lattice(pieces, logp)
+    words = [b"the", "été🙂".encode(), b"abcabcabc" * 7, "ñandú".encode() * 9]
+    score, expect = model.score(words), model.expect(words, np.array([2.0, 1.0, 3.0, 1.0]))
+    monkeypatch.setattr(lattice, "LONG", 0)
+    for block in (5, 1 << 16):
+        monkeypatch.setattr(model, "blocks", lambda codes, back=False, block=block: lattice.Lattice.blocks(model, codes, back, block))
+        assert np.allclose(score, model.score(words), rtol=1e-12) and np.allclose(expect, model.expect(words, np.array([2.0, 1.0, 3.0, 1.0])), rtol=1e-9)
+    long = base64.b64encode(np.random.Generator(np.random.PCG64(4)).integers(0, 256, 750_000, np.uint8).tobytes())
+    start = time.time()
+    assert -math.inf < model.score([long])[0] < 0
+    assert time.time() - start < 60
+
+
 # near duplicates
 
 
@@ -538,6 +554,44 @@ def test_language(docs, rows, empty):
     assert langid.identify(empty).count() == 0 and langid.keep(docs).columns == docs.columns
 
 
+def test_letters_are_those_of_unicode(spark):
+    texts = ["½ ² ⅷ ①", "_ 12", "ª", "世", "the day", None, ""]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)] + [(100 + i, "the day and the night of it", "en") for i in range(20)] + [(200 + i, "der Tag und die Nacht", "de") for i in range(20)], "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in langid.identify(docs).collect()}
+    assert [found[i] == "und" for i in range(7)] == [True, True, False, False, False, True, True] and found[4] == "en"
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs, max_langs=1)
+
+
+def test_kneser_ney_equals_brute_force(rows):
+    order, discount = 4, 0.75
+    texts = {lang: [r.text for r in rows if r.text and r.lang == lang][:12] for lang in sorted({r.lang for r in rows if r.lang})}
+    model = langid.train(texts, order, discount)
+    asked = [r.text for r in rows if r.text and re.search("[a-z]", r.text)][:40] + ["zzz ☃ qq", "É"]
+    chars = lambda t: " " * (order - 1) + " ".join(t.lower().split()) + " "
+    for j, lang in enumerate(model.langs):
+        counts = {order: Counter(c[i - order : i] for c in map(chars, texts[lang]) for i in range(order, len(c) + 1))}
+        for k in range(order - 1, 0, -1):
+            counts[k] = Counter(g[1:] for g in counts[k + 1])
+        sums, kinds = defaultdict(float), Counter()
+        for k in range(1, order + 1):
+            for g, n in counts[k].items():
+                sums[k, g[:-1]] += n
+                kinds[k, g[:-1]] += 1
+
+        def p(gram, counts=counts, sums=sums, kinds=kinds):
+            k = len(gram)
+            if not k:
+                return 1 / 0x110000
+            total = sums.get((k, gram[:-1]), 0)
+            return (max(counts[k][gram] - discount, 0) / total + discount * kinds[k, gram[:-1]] / total * p(gram[1:])) if total else p(gram[1:])
+
+        for t, row in zip(asked, model.entropies(asked), strict=True):
+            c = chars(t)
+            want = [-math.log2(p(c[i - order : i])) for i in range(order, len(c) + 1)]
+            assert math.isclose(row[j], sum(want) / len(want), rel_tol=1e-4), (lang, t[:40])
+
+
 def test_kneser_ney_sums_to_one():
     model = langid.train({"a": ["abab abc", "aab"], "b": ["zzy"]}, 3)
     chars = "abcyz " + "q"
