@@ -2,8 +2,11 @@
 
 A text's UTF-8 bytes, filled with zeros to a positive multiple of 64, are rows
 of 16 ARGB pixels.  Long payloads become several images of at most 1,024 rows,
-one file after another (a RIFF file tells its own length).  Encoding and
-decoding treat a bounded slice of an Arrow batch at once.  No shuffle.
+one file after another (a RIFF file tells its own length).  Each image is stored
+in the form of least estimated size: plain literals for most texts, else a
+palette, a predictor, less green, cross-colour, a colour cache or
+back-references.  Encoding and decoding treat a bounded slice of an Arrow batch
+at once.  No shuffle.
 
 Null or empty text: 64 zero bytes.  Equal texts, equal files.  Repeated rows
 are stored each; empty table: no rows.  Other columns are not read.

@@ -313,6 +313,9 @@ def predicted(mode: int, left, top, top_right, top_left):
 
 def predict(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, bits: int, sign: int) -> np.ndarray:
     """Add (sign 1, decoding) or subtract (-1, encoding) the predictions."""
+    used = set((modes[:, 2] & 15).tolist())
+    if used in ({1}, {2}):
+        return predict_from_one(pixels, width, used == {2}, sign)
     out = pixels.astype(int)
     known = out if sign > 0 else pixels.astype(int)
     result = out if sign > 0 else out.copy()
@@ -331,6 +334,29 @@ def predict(pixels: np.ndarray, width: int, height: int, modes: np.ndarray, bits
     return result.astype(np.uint8)
 
 
+def predict_from_one(pixels: np.ndarray, width: int, above: bool, sign: int) -> np.ndarray:
+    """predict() where every block takes the pixel to the left, or the one above: differences, or running sums, of whole rows and columns."""
+    grid = pixels.reshape(-1, width, 4)
+    first = np.array([255, 0, 0, 0], np.uint8)
+    if sign < 0:
+        out = grid.copy()
+        out[1:, 0] -= grid[:-1, 0]
+        out[0, 1:] -= grid[0, :-1]
+        out[0, 0] -= first
+        if above:
+            out[1:, 1:] -= grid[:-1, 1:]
+        else:
+            out[1:, 1:] -= grid[1:, :-1]
+        return out.reshape(-1, 4)
+    out = grid.copy()
+    out[0, 0] += first
+    if above:
+        out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
+        return np.cumsum(out, axis=0, dtype=np.uint8).reshape(-1, 4)
+    out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
+    return np.cumsum(out, axis=1, dtype=np.uint8).reshape(-1, 4)
+
+
 def cross(pixels: np.ndarray, width: int, factors: np.ndarray, bits: int, sign: int) -> np.ndarray:
     """Undo (sign 1) or do (-1) the cross-colour transform; a factor pixel holds red to blue, green to blue, green to red."""
     i = np.arange(len(pixels))
@@ -475,8 +501,8 @@ def header(w: BitWriter, width: int, height: int) -> None:
         w.put(value, n)
 
 
-def encode(pixels: np.ndarray, width: int, transforms: tuple[int, ...] = (), cache_bits: int = 0, repeats: bool = True, bits: int = 3, seed: int = 0) -> bytes:
-    """One image with the given transforms; predictor modes and colour factors are dealt out by the seed."""
+def encode(pixels: np.ndarray, width: int, transforms: tuple[int, ...] = (), cache_bits: int = 0, repeats: bool = True, bits: int = 3, seed: int = 0, mode: int | None = None, factors: tuple[int, int, int] | None = None) -> bytes:
+    """One image with the given transforms; mode, factors: the predictor and the colour factors of all blocks, else they are dealt out by the seed."""
     w, height = BitWriter(), len(pixels) // width
     header(w, width, height)
     r = np.random.Generator(np.random.PCG64(seed))
@@ -488,9 +514,9 @@ def encode(pixels: np.ndarray, width: int, transforms: tuple[int, ...] = (), cac
             image = np.zeros((blocks, 4), np.uint8)
             image[:, 0] = 255
             if kind == PREDICTOR:
-                image[:, 2] = r.integers(0, 14, blocks)
+                image[:, 2] = r.integers(0, 14, blocks) if mode is None else mode
             else:
-                image[:, 1:] = r.integers(0, 256, (blocks, 3))
+                image[:, 1:] = r.integers(0, 256, (blocks, 3)) if factors is None else factors
             w.put(bits - 2, 3)
             write_image(w, image, False)
             pixels = predict(pixels, width, height, image, bits, -1) if kind == PREDICTOR else cross(pixels, width, image, bits, -1)
@@ -515,16 +541,66 @@ def encode(pixels: np.ndarray, width: int, transforms: tuple[int, ...] = (), cac
     return file_of(w.bytes())
 
 
+def coded_bits(values: np.ndarray) -> float:
+    """Least bits of a prefix code of the values, with 6 for each distinct one."""
+    counts = np.bincount(values.ravel(), minlength=256)
+    counts = counts[counts > 0].astype(float)
+    return float(counts.sum() * np.log2(counts.sum()) - (counts * np.log2(counts)).sum()) + 6 * len(counts)
+
+
+#: Bits of a table of prefix codes beside its symbols; the part of the plain form's size that another form must stay below.
+TABLES, GAIN = 400, 0.8
+FEW, ALL = 64, 256
+
+
+def form_of(pixels: np.ndarray, width: int) -> dict | None:
+    """The form that encode() should give an image, by estimated size: None for plain literals, else its arguments.
+
+    Weighed are a palette, the pixel above or to the left as predictor, less
+    green, one channel from another by colour, the colour cache and
+    back-references.  A form other than plain must save a fifth: it is written
+    and read pixel by pixel, plain literals of many images at once.
+    """
+    if len(pixels) < FEW:
+        return None
+    plain = coded_bits(pixels)
+    flat = np.ascontiguousarray(pixels).view("<u4").ravel()
+    values, counts = np.unique(flat, return_counts=True)
+    n, kinds = len(pixels), len(values)
+    forms: list[tuple[float, int, dict]] = []
+
+    def weigh(estimate: float, **form) -> None:
+        forms.append((estimate + TABLES, len(forms), form))
+
+    if kinds <= ALL:
+        index = float(n * np.log2(n) - (counts * np.log2(counts)).sum())
+        weigh(index + kinds * 30, transforms=(PALETTE,), repeats=False)
+    weigh(kinds * 28 + (n - kinds) * np.log2(kinds + 1), cache_bits=min(11, max(4, kinds.bit_length())), repeats=False)
+    if kinds <= n // 4:
+        runs = flat[:-2] * np.uint32(0x9E3779B1) + flat[1:-1] * np.uint32(0x85EBCA6B) + flat[2:]
+        weigh(len(np.unique(runs)) * 30, repeats=True)  # a run of three seen before is a back-reference
+    by_channel = [coded_bits(pixels[:, k]) for k in range(4)]
+    for mode in (1, 2):
+        rest = predict_from_one(pixels, width, mode == 2, -1)
+        weigh(sum(coded_bits(rest[:, k]) for k in range(4)), transforms=(PREDICTOR,), mode=mode, bits=9, repeats=False)
+    lessened = [coded_bits(pixels[:, k] - pixels[:, j]) for k, j in ((1, 2), (3, 2), (3, 1))]  # red and blue less green, blue less red
+    weigh(by_channel[0] + by_channel[2] + lessened[0] + lessened[1], transforms=(GREEN,), repeats=False)
+    for factors, red, blue in (((0, 0, 32), lessened[0], by_channel[3]), ((0, 32, 0), by_channel[1], lessened[1]), ((32, 0, 0), by_channel[1], lessened[2])):
+        weigh(by_channel[0] + by_channel[2] + red + blue, transforms=(CROSS,), factors=factors, bits=9, repeats=False)
+    least, _, form = min(forms, key=lambda f: f[:2])
+    return form if least < GAIN * plain else None
+
+
 def encode_many(images: list[np.ndarray], width: int) -> list[bytes]:
-    """Images of literals under one prefix code each; those of few distinct runs get back-references instead."""
+    """Each image in the form that form_of() chooses; those of plain literals, under one prefix code each, all at once."""
     out: list[bytes | None] = [None] * len(images)
     plain = []
     for i, p in enumerate(images):
-        v = np.ascontiguousarray(p).view("<u4").ravel()
-        if len(v) >= 64 and len(np.unique(v)) <= len(v) // 16:
-            out[i] = encode(p, width, repeats=True)
-        else:
+        form = form_of(p, width)
+        if form is None:
             plain.append(i)
+        else:
+            out[i] = encode(p, width, **form)
     if not plain:
         return out
     sizes = np.array([len(images[i]) for i in plain])

@@ -250,6 +250,61 @@ def test_webp_round_trip(transforms):
             assert (w, h) == (width, height) and (back == pixels).all() and (webp.decode_many([data])[0] == pixels).all()
 
 
+def kinds_in(data):
+    """The transforms of a file, and whether it has a colour cache."""
+    r, width, height = webp.parse(data)
+    found = []
+    while r.get(1):
+        kind = r.get(2)
+        found.append(kind)
+        if kind in (webp.PREDICTOR, webp.CROSS):
+            bits = r.get(3) + 2
+            webp.read_image(r, -(-width // (1 << bits)), -(-height // (1 << bits)), False)
+        elif kind == webp.PALETTE:
+            n = r.get(8) + 1
+            webp.read_image(r, n, 1, False)
+    return found + (["cache"] if r.get(1) else [])
+
+
+def test_stored_texts_use_every_form():
+    """Texts that suit each form are stored in it, smaller than plain, and read back whole by both decoders."""
+    r = np.random.Generator(np.random.PCG64(8))
+    letters = np.frombuffer(b"etaoinshrdlucmfwypvbgkqjxz ,.ETAOINSHRDLU0123456789", np.uint8)
+    some = lambda n: letters[r.integers(0, len(letters), n)]
+    line = some(64).copy()
+    above = np.concatenate([line + i % 2 * (np.arange(64) % 4 == 0) for i in range(300)]).astype(np.uint8)
+    above = (np.cumsum(r.integers(0, 2, (400, 64)), axis=0) + line).astype(np.uint8)
+    left = np.cumsum(r.integers(0, 2, (4, 900)), axis=1).T.astype(np.uint8)[:896].ravel()
+    greys = np.repeat(some(4000), 4)
+    green = greys.reshape(-1, 4).copy()
+    green[:, 0] = some(4000)
+    red = np.column_stack([some(4000), some(4000), some(4000), some(4000)])
+    red[:, 1] = red[:, 2]
+    red[:, 2] = red[:, 1]
+    palette = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789ABCD", np.uint8).reshape(-1, 4)[r.integers(0, 10, 2000)].ravel()
+    words = some(4 * 1200).reshape(-1, 4)
+    cache = words[np.minimum(r.integers(0, 1200, 6000), r.integers(0, 1200, 6000))].ravel()
+    texts = {"predictor": above.tobytes(), "left": left.tobytes(), "green": green.tobytes(), "palette": palette.tobytes(), "cache": cache.tobytes(), "repeats": b"one two three four " * 900, "plain": some(6000).tobytes()}
+    cross = np.column_stack([some(4000)] * 4)
+    for k in (0, 1, 2):
+        cross[:, k] = some(4000)
+    cross[:, 1] = cross[:, 2]
+    texts["cross"] = cross.tobytes()
+    seen = {}
+    for name, text in texts.items():
+        payload = media.payload_of(text)
+        (data,) = media.stored([payload])
+        assert media.read_back([data]) == [payload]
+        size = 8 + int.from_bytes(data[4:8], "little")
+        first = webp.decode(data[:size])[0].tobytes()
+        assert payload.startswith(first)
+        seen[name] = kinds_in(data[:size])
+        if seen[name]:
+            plain = webp.encode(np.frombuffer(first, np.uint8).reshape(-1, 4), 16, repeats=False)
+            assert size < len(plain)
+    assert {k: seen[k] for k in ("predictor", "left", "green", "cross", "palette", "cache", "repeats", "plain")} == {"predictor": [webp.PREDICTOR], "left": [webp.PREDICTOR], "green": [webp.GREEN], "cross": [webp.CROSS], "palette": [webp.PALETTE], "cache": ["cache"], "repeats": seen["repeats"], "plain": []}
+
+
 def test_media(docs, rows, empty):
     found = media.digests(docs).collect()
     counted(found, rows)
