@@ -72,15 +72,16 @@ def spread(left: DataFrame, right: DataFrame, key: str, by: Column, total: int,
 
     A key of more than 1 / share of left's `total` rows (and of more than
     `least`) is dealt over `salts` tasks by a hash of `by`, right's row being
-    repeated for each: such keys number at most `share`, so their table is
-    broadcast and the rows added are bounded.  counts: (key, n) of left, if at hand.
+    repeated for each: such keys number at most `share`, so the list of them and
+    the rows added are bounded.  counts: (key, n) of left, if at hand.
     """
     counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
-    hot = F.broadcast(counts.where((F.col("n") * share > total) & (F.col("n") > least)).select(F.col(key), F.lit(True).alias("_hot")))
-    dealt = left.withColumn("_by", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(hot, key, "left")
-    dealt = dealt.withColumn("_salt", F.when(F.col("_hot"), F.col("_by")).otherwise(0)).drop("_hot", "_by")
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    hot = [r[0] for r in counts.where((F.col("n") * share > total) & (F.col("n") > least)).select(key).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    often = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    dealt = left.withColumn("_salt", F.when(often, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0))
+    repeated = right.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
 
 

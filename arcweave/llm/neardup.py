@@ -153,7 +153,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     total = pairs.count()
     joined = pairs
     for c in ("y", "x"):
-        joined = spread(joined, sets.select(F.col("row").alias(c), F.col("hashes").alias(f"set_{c}")), c, F.col("x" if c == "y" else "y"), total, pairs.groupBy(c).agg(F.count("*").alias("n")))
+        own = sets.join(pairs.select(F.col(c).alias("row")).distinct(), "row", "left_semi")
+        joined = spread(joined, own.select(F.col("row").alias(c), F.col("hashes").alias(f"set_{c}")), c, F.col("x" if c == "y" else "y"), total, pairs.groupBy(c).agg(F.count("*").alias("n")))
     return map_arrow(joined.select("a", "b", "set_x", "set_y"), run, "a long, b long")
 
 
