@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +56,19 @@ def written_with(df: DataFrame, name: str, flag: str | None = None) -> tuple[Dat
     return table, seen.get["n"]
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        system, at = place(df.sparkSession, df._written_at)
+        system.delete(at, True)
+
+
+def swept(spark: SparkSession) -> None:
+    """Let the engine delete the shuffle files of finished plans: it does so when the driver collects their objects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def missing(df: DataFrame) -> bool:
     """Whether df has no rows; reads one at most."""
     return not df.limit(1).count()
@@ -75,9 +89,7 @@ class Levels:
         self.old: list[DataFrame] = []
 
     def add(self, part: DataFrame, n: int) -> None:
-        for df in self.old:
-            system, at = place(df.sparkSession, df._written_at)
-            system.delete(at, True)
+        dropped(*self.old)
         self.old = []
         self.parts.append((part, n))
         if len(self.parts) > self.most:
