@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweave.functions.session import shared_path, written, written_with  # noqa: F401
+from arcweave.functions.session import dropped, shared_path, swept, written, written_with  # noqa: F401
 
 #: Bytes of text that a Python function holds at a time; larger Arrow batches are cut between rows.
 SLICE_BYTES = 4 << 20

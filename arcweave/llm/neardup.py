@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweave.llm.common import WordHash, arrays, bytes_list, id_text, map_arrow, spread, written, written_with
+from arcweave.llm.common import WordHash, arrays, bytes_list, dropped, id_text, map_arrow, spread, swept, written, written_with
 
 BANDS, ROWS, BITS, HASHES = 32, 4, 2, 256
 SIGNED = "doc_id long, n_shingles long, cls binary, sketch array<long>, bands array<long>"
@@ -130,9 +130,11 @@ def components(links: DataFrame) -> DataFrame:
         jump = lowered.where("comp <> node").select(F.col("node").alias("comp"), F.col("comp").alias("root"))
         new = spread(lowered, jump, "comp", F.col("node"), nodes, how="left").select("node", F.least("comp", F.coalesce("root", "comp")).alias("comp"), "before")
         new, changed = written_with(new.withColumn("fell", F.col("comp") != F.col("before")), "labels", "fell")
-        labels = new.select("node", "comp")
+        dropped(labels, lowered)
+        labels = new
         if not changed:
-            return labels
+            dropped(both)
+            return labels.select("node", "comp")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -258,6 +260,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> D
     entries = reps.select(F.explode("bands").alias("bucket"), "row")
     shared = written(entries.groupBy("bucket").agg(F.min("row").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    swept(docs.sparkSession)
     members = written(spread(entries, shared.select("bucket", "leader"), "bucket", F.col("row"), total, shared.select("bucket", "n")), "members")
     ids = reps.select("row", "rep")
     sketches = reps.select("row", "rep", "n_shingles", "sketch")
@@ -271,10 +274,14 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> D
         return spread(pairs.join(y, "y"), x, "x", F.col("y"), pairs.count(), pairs.groupBy("x").agg(F.count("*").alias("n"))).where(sized & (estimate(F.col("sx"), F.col("sy")) >= low)).select("x", "y", "a", "b")
 
     stars = members.where("row <> leader").select(F.col("leader").alias("x"), F.col("row").alias("y")).distinct()
+    swept(docs.sparkSession)
     first = written(likely(stars).groupBy("y").agg(F.min(F.struct("x", "a", "b")).alias("r")).select("r.x", "y", "r.a", "r.b"), "pairs")
     wanted = written(members.select("row").distinct().join(reps.select("row", F.col("rep").alias("doc_id"), "cls"), "row"), "wanted")
+    swept(docs.sparkSession)
     sets = written(sets_of(docs, wanted, k), "sets")
+    swept(docs.sparkSession)
     links = written(confirmed(first, sets, percent), "links").union(same_id)
+    swept(docs.sparkSession)
     tried = first.select("x", "y")
     comps = components(links)
     for turn in range(rounds + 1):
@@ -282,12 +289,18 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> D
         placed = written(members.select("bucket", "row").join(labelled, "row"), "placed")
         open_ = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("row", "comp"), F.xxhash64("row", F.lit(turn))).alias("head"), F.count("*").alias("n")).where("least < most")
         open_ = written(open_.select("bucket", F.col("head.row").alias("head"), F.col("head.comp").alias("head_comp"), "n"), "open")
+        swept(docs.sparkSession)
         left = spread(placed, open_.drop("n"), "bucket", F.col("row"), total, open_.select("bucket", "n"))
         if turn < rounds:
             pairs = left.where("comp <> head_comp").select(F.least("row", "head").alias("x"), F.greatest("row", "head").alias("y")).distinct()
         else:
-            pairs = written(last_pairs(written(left.select("bucket", "row", "comp"), "left"), reps, sets, percent, low), "met").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+            part = written(left.select("bucket", "row", "comp"), "left")
+            pairs = written(last_pairs(part, reps, sets, percent, low), "met").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+            dropped(part)
+            swept(docs.sparkSession)
         new = written(likely(pairs.join(tried.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")), "pairs")
+        dropped(placed, open_)
+        swept(docs.sparkSession)
         if not new.limit(1).count():
             if turn < rounds:
                 continue
@@ -297,6 +310,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> D
         if found.limit(1).count():
             links = links.union(found)
             comps = components(links)
+            swept(docs.sparkSession)
+    dropped(members, sets, wanted)
+    swept(docs.sparkSession)
     owners = reps.select("cls", "rep", "copies").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
     out = spread(table.select("doc_id", "n_shingles", "cls"), owners, "cls", F.coalesce("doc_id", F.lit(0)), table.count(), reps.select("cls", F.col("copies").alias("n")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
