@@ -70,6 +70,9 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 def spread(left: DataFrame, right: DataFrame, key: str, by: Column, total: int, counts: DataFrame | None = None, how: str = "inner", share: int = 1000, least: int = 200, salts: int = 64) -> DataFrame:
     """left joined to right, which has one row a key, without hot keys.
 
+    Both sides grow with the input, so the join is a sorted one at every size:
+    what a small input shuffles tells what a large one will.
+
     A key of more than 1 / share of left's `total` rows (and of more than
     `least`) is dealt over `salts` tasks by a hash of `by`, right's row being
     repeated for each: such keys number at most `share`, so the list of them and
@@ -78,11 +81,11 @@ def spread(left: DataFrame, right: DataFrame, key: str, by: Column, total: int,
     counts = left.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
     hot = [r[0] for r in counts.where((F.col("n") * share > total) & (F.col("n") > least)).select(key).collect()]
     if not hot:
-        return left.join(right, key, how)
+        return left.join(right.hint("merge"), key, how)
     often = F.coalesce(F.col(key).isin(hot), F.lit(False))
     dealt = left.withColumn("_salt", F.when(often, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(0))
     repeated = right.withColumn("_salt", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
+    return dealt.join(repeated.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def release() -> None:

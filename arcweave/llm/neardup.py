@@ -187,7 +187,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, bits: int = 1 << 25) ->
         return arrays(schema, batch.column(0), [xxhash.xxh3_128_digest(s) for s in sets], sets)
 
     found = map_arrow(id_text(docs).where("doc_id IS NOT NULL"), run, "doc_id long, cls binary, hashes binary").dropDuplicates(["doc_id", "cls"])
-    return found.join(wanted, ["doc_id", "cls"]).select("row", "hashes")
+    return found.join(wanted.hint("merge"), ["doc_id", "cls"]).select("row", "hashes")
 
 
 def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame:
@@ -232,8 +232,8 @@ def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame
 def last_pairs(left: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, low: float) -> DataFrame:
     """Pairs (x, y) of classes, of different components of a bucket, each in the first bucket they share, that size, sketch and rarest hashes allow."""
     rare = rare_first(sets.join(left.select("row").distinct(), "row", "left_semi"), percent)
-    facts = written(reps.select("row", "rep", "n_shingles", "sketch", "bands").join(rare, "row"), "facts")
-    rows = left.select("bucket", "row", "comp").join(facts, "row")
+    facts = written(reps.select("row", "rep", "n_shingles", "sketch", "bands").join(rare.hint("merge"), "row"), "facts")
+    rows = left.select("bucket", "row", "comp").join(facts.hint("merge"), "row")
     a = rows.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("row", "rep", "comp", "n_shingles", "sketch", "bands", "rare", "marks", "hidden")))
     b = rows.select(F.col("bucket").alias("b_bucket"), *(F.col(c).alias(f"b_{c}") for c in ("row", "rep", "comp", "n_shingles", "sketch", "bands", "rare", "marks", "hidden")))
     larger = F.struct("a_n_shingles", "a_row") > F.struct("b_n_shingles", "b_row")
@@ -244,7 +244,7 @@ def last_pairs(left: DataFrame, reps: DataFrame, sets: DataFrame, percent: int,
     marked = F.col("a_hidden") + sum((F.bit_count(F.col("a_marks")[i].bitwiseAND(F.col("b_marks")[i])) for i in range(8)), F.lit(0))  # no fewer than they share
     alike = (estimate(F.col("a_sketch"), F.col("b_sketch")) >= low) & (marked >= needed) & (F.size(F.array_intersect("a_rare", "b_rare")) >= needed)
     common = F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    pairs = a.join(b, (F.col("bucket") == F.col("b_bucket")) & larger & sized & alike & (F.get(common, F.lit(0)) == F.col("bucket")))
+    pairs = a.join(b.hint("merge"), (F.col("bucket") == F.col("b_bucket")) & larger & sized & alike & (F.get(common, F.lit(0)) == F.col("bucket")))
     return pairs.select(F.col("a_row").alias("x"), F.col("b_row").alias("y"), F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
@@ -271,7 +271,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> D
         x = sketches.select(F.col("row").alias("x"), F.col("rep").alias("a"), F.col("n_shingles").alias("nx"), F.col("sketch").alias("sx"))
         y = sketches.select(F.col("row").alias("y"), F.col("rep").alias("b"), F.col("n_shingles").alias("ny"), F.col("sketch").alias("sy"))
         sized = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-        return spread(pairs.join(y, "y"), x, "x", F.col("y"), pairs.count(), pairs.groupBy("x").agg(F.count("*").alias("n"))).where(sized & (estimate(F.col("sx"), F.col("sy")) >= low)).select("x", "y", "a", "b")
+        return spread(pairs.join(y.hint("merge"), "y"), x, "x", F.col("y"), pairs.count(), pairs.groupBy("x").agg(F.count("*").alias("n"))).where(sized & (estimate(F.col("sx"), F.col("sy")) >= low)).select("x", "y", "a", "b")
 
     stars = members.where("row <> leader").select(F.col("leader").alias("x"), F.col("row").alias("y")).distinct()
     swept(docs.sparkSession)
@@ -286,7 +286,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> D
     comps = components(links)
     for turn in range(rounds + 1):
         labelled = ids.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("row", F.coalesce("comp", "rep").alias("comp"))
-        placed = written(members.select("bucket", "row").join(labelled, "row"), "placed")
+        placed = written(members.select("bucket", "row").join(labelled.hint("merge"), "row"), "placed")
         open_ = placed.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.min_by(F.struct("row", "comp"), F.xxhash64("row", F.lit(turn))).alias("head"), F.count("*").alias("n")).where("least < most")
         open_ = written(open_.select("bucket", F.col("head.row").alias("head"), F.col("head.comp").alias("head_comp"), "n"), "open")
         swept(docs.sparkSession)
