@@ -191,10 +191,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int, bits: int = 1 << 25) ->
 
 
 def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame:
-    """row, rare: the first n - t n + 1 of each set's n hashes, rarest first; marks: a bit of 512 for each; hidden: how many share a bit.
+    """row, rare: the low halves of the first n - t n + 1 of each set's n hashes, rarest first; marks: a bit of 512 for each.
 
-    The order is the same for all sets: by the count of the hash's cell (a table
-    of fixed size), then by hash.
+    hidden and twins: how many of them share a bit or a half with another, so
+    that counts of common bits and halves can bound the hashes shared.  The
+    order is the same for all sets: by the count of the hash's cell (a table of
+    fixed size), then by hash.
     """
     cell = np.uint64(64 - cells.bit_length() + 1)
     counted = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
@@ -211,40 +213,43 @@ def rare_first(sets: DataFrame, percent: int, cells: int = 1 << 18) -> DataFrame
     table = np.zeros(cells, np.int64)
     table[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     shared = sets.sparkSession.sparkContext.broadcast(table)
-    schema = pa.schema([("row", pa.int64()), ("rare", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("hidden", pa.int32())])
+    schema = pa.schema([("row", pa.int64()), ("rare", pa.list_(pa.int32())), ("marks", pa.list_(pa.int64())), ("hidden", pa.int32()), ("twins", pa.int32())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rare, marks, hidden = [], [], []
+        rare, marks, hidden, twins = [], [], [], []
         for x in batch.column(1).to_pylist():
             h = np.frombuffer(x, np.uint64)
             h = h[np.lexsort((h, shared.value[(h >> cell).astype(np.int64)]))].view(np.int64)
             n = len(h)
-            rare.append(h[: n - -(-percent * n // 100) + 1])
+            rare.append(h[: n - -(-percent * n // 100) + 1].astype(np.int32))
             bits = np.unique(rare[-1] & 511)
             marks.append(np.bitwise_or.reduceat(np.append(np.uint64(1) << (bits & 63).astype(np.uint64), np.uint64(0)), np.searchsorted(bits, np.arange(8) * 64)) if len(bits) else np.zeros(8, np.uint64))
             marks[-1] = np.where(np.bincount(bits >> 6, minlength=8) > 0, marks[-1], 0).astype(np.uint64).view(np.int64)
             hidden.append(len(rare[-1]) - len(bits))
-        return arrays(schema, batch.column(0), rare, marks, hidden)
+            twins.append(len(rare[-1]) - len(np.unique(rare[-1])))
+        return arrays(schema, batch.column(0), rare, marks, hidden, twins)
 
-    return map_arrow(sets, run, "row long, rare array<long>, marks array<long>, hidden int")
+    return map_arrow(sets, run, "row long, rare array<int>, marks array<long>, hidden int, twins int")
 
 
 def last_pairs(left: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, low: float) -> DataFrame:
     """Pairs (x, y) of classes, of different components of a bucket, each in the first bucket they share, that size, sketch and rarest hashes allow."""
     rare = rare_first(sets.join(left.select("row").distinct(), "row", "left_semi"), percent)
-    facts = written(reps.select("row", "rep", "n_shingles", "sketch", "bands").join(rare.hint("merge"), "row"), "facts")
-    rows = left.select("bucket", "row", "comp").join(facts.hint("merge"), "row")
-    a = rows.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("row", "rep", "comp", "n_shingles", "sketch", "bands", "rare", "marks", "hidden")))
-    b = rows.select(F.col("bucket").alias("b_bucket"), *(F.col(c).alias(f"b_{c}") for c in ("row", "rep", "comp", "n_shingles", "sketch", "bands", "rare", "marks", "hidden")))
+    own = left.groupBy("row").agg(F.collect_set("bucket").alias("buckets"))  # no more than there are bands
+    facts = written(reps.select("row", "rep", "n_shingles", "sketch").join(rare.hint("merge"), "row").join(own.hint("merge"), "row"), "facts")
+    # dealt by bucket once: both sides of the join read the same shuffle, so they must use the same columns
+    rows = left.select("bucket", "row", "comp").join(facts.hint("merge"), "row").repartition("bucket")
+    a, b = (rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns)) for side in "ab")
     larger = F.struct("a_n_shingles", "a_row") > F.struct("b_n_shingles", "b_row")
     sized = (F.col("a_comp") != F.col("b_comp")) & (100 * F.col("b_n_shingles") >= percent * F.col("a_n_shingles"))
     # what two sets share beyond the common part of their rarest is at most what either leaves over
     rest = F.greatest(F.col("a_n_shingles") - F.size("a_rare"), F.col("b_n_shingles") - F.size("b_rare"))
     needed = percent * (F.col("a_n_shingles") + F.col("b_n_shingles")) / (100.0 + percent) - rest - 1e-6
-    marked = F.col("a_hidden") + sum((F.bit_count(F.col("a_marks")[i].bitwiseAND(F.col("b_marks")[i])) for i in range(8)), F.lit(0))  # no fewer than they share
-    alike = (estimate(F.col("a_sketch"), F.col("b_sketch")) >= low) & (marked >= needed) & (F.size(F.array_intersect("a_rare", "b_rare")) >= needed)
-    common = F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    pairs = a.join(b.hint("merge"), (F.col("bucket") == F.col("b_bucket")) & larger & sized & alike & (F.get(common, F.lit(0)) == F.col("bucket")))
+    marked = F.least("a_hidden", "b_hidden") + sum((F.bit_count(F.col("a_marks")[i].bitwiseAND(F.col("b_marks")[i])) for i in range(8)), F.lit(0))  # no fewer than they share
+    overlap = F.least("a_twins", "b_twins") + F.size(F.array_intersect("a_rare", "b_rare"))  # no fewer either
+    alike = (estimate(F.col("a_sketch"), F.col("b_sketch")) >= low) & (marked >= needed) & (overlap >= needed)
+    first = ~F.exists("a_buckets", lambda x: (x < F.col("a_bucket")) & F.array_contains("b_buckets", x))
+    pairs = a.join(b.hint("merge"), (F.col("a_bucket") == F.col("b_bucket")) & larger & sized & alike & first)
     return pairs.select(F.col("a_row").alias("x"), F.col("b_row").alias("y"), F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
 
 
