@@ -9,6 +9,7 @@ from arcweave.functions.semiring import kind_of
 from arcweave.functions.session import stored, written
 from arcweave.operators.closure import closure, epistemic, in_range, relax, through_neighbours
 from arcweave.operators.graph import links
+from arcweave.operators.hanging import closeness_of_edges
 
 
 def is_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:
@@ -19,6 +20,8 @@ def is_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Co
 def backbone(edges: DataFrame, kind: str = "ultrametric", start: int | None = None, offset: int | None = None) -> DataFrame:
     """src, dst of the edges whose weight equals their closure; start, offset: a range of (numeric) sources."""
     edges = stored(edges, "edges")
+    if start is None and offset is None:
+        return closeness_of_edges(edges, kind).where(is_close(F.col("weight"), F.col("prox"))).select("src", "dst")
     own = in_range(links(edges), "src", start, offset).where("weight > 0")
     found = closure(edges, own.select("src").distinct(), kind).select("src", "dst", "prox")
     return own.join(found, ["src", "dst"]).where(is_close(F.col("weight"), F.col("prox"))).select("src", "dst")
