@@ -89,6 +89,19 @@ def pairs(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("src", "dst", value.alias(name))
 
 
+def closure_pairs(edges: DataFrame, kind: str = "ultrametric") -> DataFrame:
+    """src, dst, prox of every node with all that it reaches, itself (1) included: closure_all() without hops."""
+    semiring, edges = kind_of(kind), stored(edges, "edges")
+    graph = hanging(edges)
+    if not graph.hanging:
+        return closure_all(edges, kind).select("src", "dst", "prox")
+    up, down = (graph.ends(c, semiring, semiring.start) for c in ("up", "down"))
+    found = relax(graph.core, graph.inner(), semiring)
+    both = graph.spread(found, up, down, lambda u, c, d: semiring.add(semiring.add(u, c), d)).where("src <> dst")
+    own = graph.places.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(semiring.start).alias("cost"))
+    return pairs(both.union(own), semiring.back(F.col("cost")), "prox")
+
+
 def closeness_of_edges(edges: DataFrame, kind: str = "ultrametric") -> DataFrame:
     """src, dst, weight, prox of each edge of positive weight: its own weight and the closure of its ends."""
     semiring, edges = kind_of(kind), stored(edges, "edges")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from arcweave import cli
 from arcweave.functions.semiring import dist_to_sim, dombi
 from arcweave.functions.session import shared_path
-from arcweave.operators import closure, graph, maxmin, reach, stats, tasks
+from arcweave.operators import closure, graph, hanging, maxmin, reach, stats, tasks
 from arcweave.plans import testgraph as tg
 from arcweave.sources import ntriples, tables
 
@@ -359,7 +359,7 @@ def closure_ss_metric(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {TRADE}, {NEAREST.format(seed='true')} SELECT src, dst, prox FROM best")
 def closure_ap_metric(spark, sf_dir):
-    return closure.closure_all(trade(spark, sf_dir), "metric").select("src", "dst", "prox")
+    return hanging.closure_pairs(trade(spark, sf_dir), "metric")
 
 
 @query(f"WITH RECURSIVE {SUPPLY}, {PAIRS}, {NEAREST.format(seed=SOME)} SELECT src, dst, prox FROM best JOIN pairs ON src = s AND dst = t")

@@ -56,6 +56,13 @@ def test_backbone(spark, seeds, kind):
     assert seeds[-2] == 3  # of 63 nodes
 
 
+@pytest.mark.parametrize("kind", ["metric"])
+def test_closure_pairs(spark, seeds, kind):
+    for edges in (drawn(spark, 2), star(spark)):
+        assert cells(hanging.closure_pairs(edges, kind)) == cells(closure.closure_all(edges, kind).select("src", "dst", "prox"))
+    assert seeds[-2] == 3
+
+
 def multiplied(edges):
     rows, found = [tuple(r) for r in edges.collect()], {}
     for a, b, w in rows:
