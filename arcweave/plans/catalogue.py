@@ -174,8 +174,11 @@ def owl_subclass(spark, sf_dir):
 
 @query("SELECT p_partkey, 'root/d' || lpad((p_partkey - p_partkey % 1000)::VARCHAR, 6, '0') || '/d' || lpad((p_partkey - p_partkey % 10)::VARCHAR, 6, '0') || '/d' || lpad(p_partkey::VARCHAR, 6, '0') || '.dat' AS path FROM part")
 def dirtree_path(spark, sf_dir):
-    tree = tables.DirTree("root", "d", ".dat", (1000, 100, 10))
-    return tg.table(spark, sf_dir, "part").select("p_partkey", tree.leaf(F.col("p_partkey")).alias("path"))
+    """A tree as wide at its top as the parts need.  Names have six digits, as in the SQL, which shortens those of keys from 1,000,000 on."""
+    part = tg.table(spark, sf_dir, "part")
+    last = part.agg(F.max("p_partkey")).first()[0] or 0
+    tree = tables.DirTree("root", "d", ".dat", (max(1000, last // 1000 + 1), 100, 10), width=6)
+    return part.select("p_partkey", tree.leaf(F.col("p_partkey")).alias("path"))
 
 
 @query("SELECT p_partkey, list_extract(string_split(p_name || '/' || p_brand, '/'), -1) AS title FROM part")

@@ -64,14 +64,19 @@ def owl(spark: SparkSession, path: str, spaces: dict[str, str], row_tag: str = "
 
 
 class DirTree:
-    """Paths of a tree of directories with the given numbers of children; leaves hold one value each."""
+    """Paths of a tree of directories with the given numbers of children; leaves hold one value each.
 
-    def __init__(self, root: str, prefix: str, suffix: str, children: tuple[int, ...]):
+    width: digits of a name, by default those of the largest value.  A smaller
+    one shortens longer names to their first digits, so that they are no longer
+    unique.
+    """
+
+    def __init__(self, root: str, prefix: str, suffix: str, children: tuple[int, ...], width: int | None = None):
         if not children or min(children) < 1:
             raise ValueError("children: positive numbers")
         self.root, self.prefix, self.suffix, self.children = root, prefix, suffix, tuple(children)
         self.capacity = prod(children)
-        self.width = max(1, ceil(log10(self.capacity))) if self.capacity > 1 else 1
+        self.width = width or (max(1, ceil(log10(self.capacity))) if self.capacity > 1 else 1)
         self.spans = [prod(children[i + 1 :]) for i in range(len(children) - 1)]  # values below one directory of each level
 
     def leaf(self, value: Column) -> Column:

@@ -70,3 +70,9 @@ def multiplied(edges):
             if b == c:
                 found[a, d] = max(found.get((a, d), 0), round(min(w, v), 9))
     return found
+
+
+def test_directory_tree_of_many_parts(spark, tmp_path):
+    spark.range(999_990, 1_000_020).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    con = connection(str(tmp_path))
+    assert not same(spark, con, str(tmp_path), catalogue.QUERIES["dirtree_path"], catalogue.ORACLE_SQL["dirtree_path"])
