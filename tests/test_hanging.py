@@ -49,7 +49,7 @@ def kept_edges(edges, kind):
     return {(r.src, r.dst) for r in edges.collect() if abs(r.weight - prox[r.src, r.dst]) <= 1e-8 + 1e-5 * prox[r.src, r.dst]}
 
 
-@pytest.mark.parametrize("kind", ["metric"])
+@pytest.mark.parametrize("kind", ["metric", "ultrametric"])
 def test_backbone(spark, seeds, kind):
     for edges in (drawn(spark, 1), star(spark)):
         assert {tuple(r) for r in tasks.backbone(edges, kind).collect()} == kept_edges(edges, kind)
