@@ -352,7 +352,7 @@ def closure_ss_ultrametric(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {TRADE}, {WIDEST.format(seed='true')} SELECT src, dst, prox FROM best")
 def closure_ap_ultrametric(spark, sf_dir):
-    return closure.closure_all(trade(spark, sf_dir)).select("src", "dst", "prox")
+    return hanging.closure_pairs(trade(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {SUPPLY}, {NEAREST.format(seed=SOME)} SELECT src, dst, prox FROM best")
