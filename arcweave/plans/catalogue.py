@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from arcweave import cli
 from arcweave.functions.semiring import dist_to_sim, dombi
-from arcweave.functions.session import shared_path
+from arcweave.functions.session import shared_path, stored
 from arcweave.operators import closure, graph, hanging, maxmin, reach, stats, tasks
 from arcweave.plans import testgraph as tg
 from arcweave.sources import ntriples, tables
@@ -333,8 +333,8 @@ def maxmin_rows_range(spark, sf_dir):
 
 @query(f"WITH {TRADE}, p AS (SELECT a.src, b.dst, max(least(a.w, b.w)) AS w FROM edges a JOIN edges b ON a.dst = b.src GROUP BY a.src, b.dst), u AS (SELECT src, dst, w FROM edges UNION ALL SELECT src, dst, w FROM p) SELECT src, dst, max(w) AS weight FROM u GROUP BY src, dst")
 def elementwise_max(spark, sf_dir):
-    edges = trade(spark, sf_dir)
-    return maxmin.maximum(edges, maxmin.product(edges))
+    edges = stored(trade(spark, sf_dir), "edges")
+    return maxmin.maximum(edges, maxmin.product(edges), once=True)
 
 
 @query(f"WITH RECURSIVE {TRADE}, c(src, node, v) AS (SELECT src, dst, w FROM edges UNION SELECT c.src, e.dst, least(c.v, e.w) FROM c JOIN edges e ON c.node = e.src) SELECT src, node AS dst, max(v) AS weight FROM c GROUP BY src, node")

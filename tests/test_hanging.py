@@ -79,6 +79,14 @@ def test_product_of_lone_rows_and_columns(spark):
     assert plan.startswith("Union")  # pairs of hanging nodes pass no aggregation
 
 
+def test_maximum_looks_a_small_matrix_up(spark):
+    edges = star(spark)
+    found = maxmin.maximum(edges, maxmin.product(edges), once=True)
+    want = multiplied(edges)
+    assert cells(found) == want | {(r.src, r.dst): max(round(r.weight, 9), want.get((r.src, r.dst), 0)) for r in edges.collect()}
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
 def test_directory_tree_of_many_parts(spark, tmp_path):
     spark.range(999_990, 1_000_020).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
     con = connection(str(tmp_path))
