@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arcweave.functions.semiring import Semiring, kind_of
-from arcweave.functions.session import Levels, missing, stored, written, written_with
+from arcweave.functions.session import Levels, stored, written, written_with
 from arcweave.operators.graph import links
 
 #: Rows of state from which on candidates are written before they meet it.
@@ -40,7 +40,10 @@ def relax(edges: DataFrame, seeds: DataFrame, semiring: Semiring, banned: DataFr
 
     banned(key, node): a first step that the key may not take.  paths: also one
     optimal path, of fewest hops, the smallest by its nodes within a round.
-    targets(key, node): stop as soon as no changed row could still better one.
+    targets(key, node [, goal]): rows that could no longer better a key's worst
+    goal are not extended, and without any other the search ends.  A goal is as
+    good as the best of its nodes (a node is a goal of its own by default); the
+    best rows of all goals are found as without targets.
     """
     edges = stored(edges, "edges")
     steps = links(edges).select("src", "dst", semiring.of(F.col("weight")).alias("step"))
@@ -49,11 +52,19 @@ def relax(edges: DataFrame, seeds: DataFrame, semiring: Semiring, banned: DataFr
         seeds = seeds.distinct().withColumn("cost", F.lit(semiring.start))
     seeds = seeds.withColumn("hops", F.lit(0)).withColumn("path", F.array("node"))
     levels = Levels("state", best_rows(paths))
+    if targets is not None:
+        targets = stored(targets if "goal" in targets.columns else targets.withColumn("goal", F.col("node")), "targets")
     front, n = written_with(seeds.select(*fields), "state")
     hops = 0
     while n:
         levels.add(front, n)
         hops += 1
+        if targets is not None:
+            reached = levels.union().select("key", "node", "cost").join(targets.select("key", "node").distinct(), ["key", "node"], "left_semi").groupBy("key", "node").agg(F.min("cost").alias("cost"))
+            goals = targets.join(reached, ["key", "node"], "left").groupBy("key", "goal").agg(F.min(F.coalesce("cost", F.lit(float("inf")))).alias("cost"))
+            front, n = written_with(front.join(goals.groupBy("key").agg(F.max("cost").alias("worst")), "key").where(F.col("cost") < F.col("worst")).drop("worst"), "front")
+            if not n:
+                break
         moved = front.join(steps, front.node == steps.src).select("key", F.col("dst").alias("node"), semiring.add(F.col("cost"), F.col("step")).alias("cost"), *([F.array_append("path", F.col("dst")).alias("path")] if paths else []))
         if banned is not None and hops == 1:
             moved = moved.join(banned, ["key", "node"], "left_anti")
@@ -68,12 +79,6 @@ def relax(edges: DataFrame, seeds: DataFrame, semiring: Semiring, banned: DataFr
         known = known.groupBy("key", "node").agg(F.min("known").alias("known"))
         better = best.join(known, ["key", "node"], "left").where(F.col("known").isNull() | (F.col("cost") < F.col("known")))
         front, n = written_with(better.withColumn("hops", F.lit(hops)).select(*fields), "state")
-        if n and targets is not None:
-            reached = levels.union().union(front).select("key", "node", "cost").join(targets, ["key", "node"], "left_semi").groupBy("key", "node").agg(F.min("cost").alias("cost"))
-            worst = targets.join(reached, ["key", "node"], "left").groupBy("key").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("worst"))
-            if missing(front.join(worst, "key").where(F.col("cost") < F.col("worst"))):
-                levels.add(front, n)
-                break
     return levels.all() if levels.parts else front
 
 

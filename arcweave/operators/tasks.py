@@ -41,10 +41,14 @@ def link_prediction(edges: DataFrame, pairs: DataFrame, kind: str = "ultrametric
     wanted = written(wanted.withColumn("key", F.struct("src", F.when(F.col("removed"), F.col("dst")).alias("ban"))), "pairs")
     wanted = wanted.withColumn("key", F.concat_ws("\u0001", F.col("src").cast("string"), F.col("key.ban").cast("string")))
     banned = wanted.where("removed").select("key", F.col("dst").alias("node"))
-    found = relax(edges, wanted.select("key", F.col("src").alias("node")).distinct(), semiring, banned=banned, paths=paths)
+    # a pair needs the best neighbour of its goal; the source, the only row of a key without hops, is none of those of a banned edge
+    goals = wanted.where("src <> dst").select("key", F.col("src").alias("from"), F.col("dst").alias("goal"), "removed")
+    last = stored(edges.join(goals.select(F.col("goal").alias("dst")).distinct(), "dst", "left_semi"), "last")
+    gates = goals.join(last.select(F.col("dst").alias("goal"), F.col("src").alias("node")).distinct(), "goal").where("NOT (removed AND node = from)").select("key", "node", "goal")
+    found = relax(edges, wanted.select("key", F.col("src").alias("node")).distinct(), semiring, banned=banned, paths=paths, targets=gates)
     # the last step may not be the banned edge either: it leaves from the source, the only row of a key without hops
     open_ = found.join(wanted.where("removed").select("key", F.lit(True).alias("barred")).distinct(), "key", "left")
-    free = through_neighbours(open_.where("barred IS NULL OR hops > 0").drop("barred"), edges, paths)
+    free = through_neighbours(open_.where("barred IS NULL OR hops > 0").drop("barred"), last, paths)
     value = wanted.join(free.withColumnRenamed("node", "dst"), ["key", "dst"], "left")
     result = F.when(F.col("src") == F.col("dst"), F.lit(1.0)).otherwise(F.coalesce(semiring.back(F.col("cost")), F.lit(0.0)))
     path = [F.when(F.col("src") != F.col("dst"), F.col("path")).alias("path")] if paths else []

@@ -87,6 +87,21 @@ def test_maximum_looks_a_small_matrix_up(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
 
 
+def test_link_prediction_stops_at_its_goals(spark, monkeypatch):
+    """A long chain behind the goal is not searched; values and paths are those of the whole search."""
+    rows = [(0, 1, 0.9), (0, 2, 0.5), (2, 1, 0.4), (1, 0, 0.3)] + [(i, i + 1, 0.4) for i in range(2, 40)]
+    edges = spark.createDataFrame(rows, "src int, dst int, weight double")
+    rounds = []
+    written = closure.written_with
+    monkeypatch.setattr(closure, "written_with", lambda df, name: (rounds.append(name), written(df, name))[1])
+    pairs = spark.createDataFrame([(0, 1), (0, 0), (2, 1), (0, 99)], "src int, dst int")
+    found = {(r.src, r.dst): (r.value, r.removed, r.path) for r in tasks.link_prediction(edges, pairs, paths=True).collect()}
+    assert found == {(0, 1): (0.5, True, [0, 2, 1]), (0, 0): (1.0, False, None), (2, 1): (0.0, True, None), (0, 99): (0.0, False, None)}
+    rounds.clear()
+    tasks.link_prediction(edges, pairs.where("src = 0 AND dst = 1")).collect()
+    assert rounds.count("state") < 6
+
+
 def test_directory_tree_of_many_parts(spark, tmp_path):
     spark.range(999_990, 1_000_020).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
     con = connection(str(tmp_path))
