@@ -102,6 +102,31 @@ def closure_pairs(edges: DataFrame, kind: str = "ultrametric") -> DataFrame:
     return pairs(both.union(own), semiring.back(F.col("cost")), "prox")
 
 
+def epistemic_pairs(edges: DataFrame, kind: str = "ultrametric") -> DataFrame:
+    """src, dst, value: epistemic() from every node that a link leaves.
+
+    A hanging target has one neighbour, its root: its value is the root's
+    closure.  A target of the core takes its best neighbour of the core, or 1
+    where a link leads to it.
+    """
+    semiring, edges = kind_of(kind), stored(edges, "edges")
+    graph = hanging(edges)
+    if not graph.hanging:
+        return epistemic(edges, links(edges).select("src").distinct(), kind)
+    start = F.lit(semiring.start)
+    sources = graph.ends("up", semiring, semiring.start).join(graph.places.where("out").select("node"), "node", "left_semi")
+    found = written(relax(graph.core, graph.inner(), semiring), "closure")
+    leaves = graph.ends("down", semiring, semiring.start).where("node <> root")
+    far = graph.spread(found, sources, leaves, lambda u, c, d: semiring.add(u, c)).where("src <> dst")
+    best = through_neighbours(found, graph.core).where("key <> node")
+    direct = graph.core.select(F.col("src").alias("key"), F.col("dst").alias("node"), F.lit(True).alias("sure")).distinct()
+    best = best.join(direct, ["key", "node"], "left").withColumn("sure", F.coalesce("sure", F.lit(False)))
+    joined = sources.select(F.col("node").alias("src"), F.col("root").alias("key"), "step").join(best, "key")
+    near = joined.select("src", F.col("node").alias("dst"), F.when((F.col("src") == F.col("key")) & F.col("sure"), start).otherwise(semiring.add(F.col("step"), F.col("cost"))).alias("cost"))
+    own = sources.select(F.col("node").alias("src"), F.explode(F.array_distinct(F.array("node", "root"))).alias("dst"), start.alias("cost"))
+    return pairs(far.union(near).union(own), semiring.back(F.col("cost")), "value")
+
+
 def closeness_of_edges(edges: DataFrame, kind: str = "ultrametric") -> DataFrame:
     """src, dst, weight, prox of each edge of positive weight: its own weight and the closure of its ends."""
     semiring, edges = kind_of(kind), stored(edges, "edges")

@@ -384,8 +384,7 @@ def epclosure_ultrametric(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {TRADE}, {NEAREST.format(seed='true')}, {EPISTEMIC.format(seed='true')} SELECT src, dst, value FROM ep")
 def epclosure_metric(spark, sf_dir):
-    edges = trade(spark, sf_dir)
-    return closure.epistemic(edges, edges.select("src").distinct(), "metric")
+    return hanging.epistemic_pairs(trade(spark, sf_dir), "metric")
 
 
 @query(f"WITH RECURSIVE {SUPPLY}, {PAIRS}, {WIDEST.format(seed=SOME)}, {EPISTEMIC.format(seed=SOME)} SELECT src, dst, value FROM ep JOIN pairs ON src = s AND dst = t")

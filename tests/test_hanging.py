@@ -63,6 +63,13 @@ def test_closure_pairs(spark, seeds, kind):
     assert seeds[-2] == 3
 
 
+@pytest.mark.parametrize("kind", ["metric"])
+def test_epistemic_pairs(spark, seeds, kind):
+    for edges in (drawn(spark, 3), star(spark)):
+        assert cells(hanging.epistemic_pairs(edges, kind)) == cells(closure.epistemic(edges, edges.select("src").distinct(), kind))
+    assert seeds[-2] == 3
+
+
 def multiplied(edges):
     rows, found = [tuple(r) for r in edges.collect()], {}
     for a, b, w in rows:
