@@ -378,8 +378,7 @@ def closure_paths(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {TRADE}, {WIDEST.format(seed='true')}, {EPISTEMIC.format(seed='true')} SELECT src, dst, value FROM ep")
 def epclosure_ultrametric(spark, sf_dir):
-    edges = trade(spark, sf_dir)
-    return closure.epistemic(edges, edges.select("src").distinct())
+    return hanging.epistemic_pairs(trade(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {TRADE}, {NEAREST.format(seed='true')}, {EPISTEMIC.format(seed='true')} SELECT src, dst, value FROM ep")
