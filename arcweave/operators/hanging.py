@@ -127,6 +127,23 @@ def epistemic_pairs(edges: DataFrame, kind: str = "ultrametric") -> DataFrame:
     return pairs(far.union(near).union(own), semiring.back(F.col("cost")), "value")
 
 
+def maxmin_pairs(edges: DataFrame, semiring: Semiring) -> DataFrame:
+    """src, dst, cost of the best path of one link or more between every two nodes; of a node with itself: its best cycle."""
+    graph = hanging(edges)
+    if not graph.hanging:
+        found = relax(edges, edges.select(F.col("src").alias("key"), F.col("dst").alias("node"), semiring.of(F.col("weight")).alias("cost")), semiring)
+        return found.select(F.col("key").alias("src"), F.col("node").alias("dst"), "cost")
+    none = float("-inf")
+    up, down = (graph.ends(c, semiring, none) for c in ("up", "down"))
+    core = graph.core
+    found = written(relax(core, core.select(F.col("src").alias("key"), F.col("dst").alias("node"), semiring.of(F.col("weight")).alias("cost")), semiring), "closure")
+    still = found.where("key <> node").select("key", "node", "cost").union(graph.inner().withColumn("cost", F.lit(none)))
+    both = graph.spread(still, up, down, lambda u, c, d: F.greatest(u, c, d)).where(F.col("cost") > F.lit(none))
+    turn = graph.places.where("up IS NOT NULL AND down IS NOT NULL").select(F.col("root").alias("node"), F.greatest(semiring.of(F.col("up")), semiring.of(F.col("down"))).alias("cost"))
+    cycles = found.where("key = node").select("node", "cost").union(turn).groupBy("node").agg(F.min("cost").alias("cost"))
+    return both.union(cycles.select(F.col("node").alias("src"), F.col("node").alias("dst"), "cost"))
+
+
 def closeness_of_edges(edges: DataFrame, kind: str = "ultrametric") -> DataFrame:
     """src, dst, weight, prox of each edge of positive weight: its own weight and the closure of its ends."""
     semiring, edges = kind_of(kind), stored(edges, "edges")

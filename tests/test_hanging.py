@@ -70,6 +70,12 @@ def test_epistemic_pairs(spark, seeds, kind):
     assert seeds[-2] == 3
 
 
+def test_fixpoint(spark, seeds):
+    for edges in (drawn(spark, 4), star(spark)):
+        assert cells(maxmin.fixpoint(edges)) == cells(maxmin.squared(edges))
+    assert seeds[-1] == 4  # links of the core, of 124
+
+
 def multiplied(edges):
     rows, found = [tuple(r) for r in edges.collect()], {}
     for a, b, w in rows:
