@@ -2,7 +2,7 @@
 
 Trees are grown on binned features with optional monotone constraints; a
 fitted model scores numpy matrices (all rows move down one level at a time)
-or becomes a Spark SQL expression.  Fitting takes a bounded table in memory.
+or becomes a Spark SQL expression.  Fitting takes a table in memory; of bins, a byte a feature.
 """
 
 from __future__ import annotations
@@ -58,11 +58,12 @@ class Trees:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 40, depth: int = 3, rate: float = 0.2, l2: float = 1.0, bins: int = 64, least: float = 5.0, monotone: tuple[int, ...] = ()) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 40, depth: int = 3, rate: float = 0.2, l2: float = 1.0, bins: int = 64, least: float = 5.0, monotone: tuple[int, ...] = (), cuts: list[np.ndarray] | None = None) -> Trees:
     """Fit to labels 0/1.  monotone: per feature +1 (never falls), -1 (never rises) or 0.
 
     A constrained split is kept only if its children's values are in order,
     and their middle bounds all leaves below.  One class or no rows: a constant.
+    cuts: x holds bin numbers already, by these limits (a value equal to one is below it).
     """
     n, k = x.shape
     mean = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if n else 0.5
@@ -70,9 +71,12 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 40, depth: int = 3, rate:
     if n < 2 or y.min() == y.max():
         return Trees(base)
     monotone = monotone or (0,) * k
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(k)]
-    binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(k)], axis=1)
-    feature, threshold, left, right, value, roots = [], [], [], [], [], []
+    if cuts is None:
+        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(k)]
+        binned = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(k)], axis=1)
+    else:
+        binned = x
+    feature, threshold, split, left, right, value, roots = [], [], [], [], [], [], []
     margin = np.full(n, base)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
@@ -84,7 +88,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 40, depth: int = 3, rate:
         def grow(rows: np.ndarray, level: int, low: float, high: float) -> int:
             node = len(feature)
             v = leaf(rows, low, high)
-            for a, b in ((feature, -1), (threshold, 0.0), (left, -1), (right, -1), (value, rate * v)):
+            for a, b in ((feature, -1), (threshold, 0.0), (split, 0), (left, -1), (right, -1), (value, rate * v)):
                 a.append(b)
             best = None
             if level < depth and h[rows].sum() >= 2 * least * 0.05:
@@ -111,14 +115,15 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 40, depth: int = 3, rate:
                 middle = (vl + vr) / 2
                 bound = {1: ((low, middle), (middle, high)), -1: ((middle, high), (low, middle)), 0: ((low, high), (low, high))}[monotone[j]]
                 low_side = binned[rows, j] <= i
-                feature[node], threshold[node] = j, float(cuts[j][i])
+                feature[node], threshold[node], split[node] = j, float(cuts[j][i]), i
                 left[node] = grow(rows[low_side], level + 1, *bound[0])
                 right[node] = grow(rows[~low_side], level + 1, *bound[1])
             return node
 
         root = grow(np.arange(n), 0, -4.0, 4.0)
         roots.append(root)
-        one = Trees(0.0, np.array(feature, np.int32), np.array(threshold), np.array(left, np.int32), np.array(right, np.int32), np.array(value), (root,), depth)
+        limits = np.array(split, float) if binned is x else np.array(threshold)
+        one = Trees(0.0, np.array(feature, np.int32), limits, np.array(left, np.int32), np.array(right, np.int32), np.array(value), (root,), depth)
         margin = margin + one.margin(x)
     return Trees(base, np.array(feature, np.int32), np.array(threshold), np.array(left, np.int32), np.array(right, np.int32), np.array(value), tuple(roots), depth)
 
