@@ -261,12 +261,17 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, rounds: int = 1) -> D
     reps = some.groupBy("cls").agg(F.min(F.struct("doc_id", "row", "n_shingles", "sketch", "bands")).alias("r"), F.count("*").alias("copies"))
     reps = written(reps.select("cls", F.col("r.doc_id").alias("rep"), "r.row", "r.n_shingles", "r.sketch", "r.bands", "copies"), "reps")
     several = some.groupBy("doc_id").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x <> y").select("doc_id")
+    whole, table = table, written(table.select("doc_id", "n_shingles", "cls"), "ids")  # sketches and bands stay with the classes
     same_id = written(some.join(several, "doc_id", "left_semi").select("doc_id", "cls").join(reps.select("cls", "rep"), "cls").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), "same_id")
+    dropped(whole)
     entries = reps.select(F.explode("bands").alias("bucket"), "row")
     shared = written(entries.groupBy("bucket").agg(F.min("row").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     swept(docs.sparkSession)
     members = written(spread(entries, shared.select("bucket", "leader"), "bucket", F.col("row"), total, shared.select("bucket", "n")), "members")
+    banded, reps = reps, written(reps.drop("bands"), "reps")
+    dropped(banded, shared)
+    swept(docs.sparkSession)
     ids = reps.select("row", "rep")
     sketches = reps.select("row", "rep", "n_shingles", "sketch")
 
