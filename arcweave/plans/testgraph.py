@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcweave.functions.session import written
 from arcweave.operators import graph
 
 
@@ -39,10 +40,16 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations whose customers bought from nations' suppliers, over all lineitem, orders, customer and supplier rows, and their regions."""
-    sales = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    buyers = sales.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
-    both = buyers.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").select("c_nationkey", "s_nationkey").distinct()
+    """Nations whose customers bought from nations' suppliers, over all lineitem, orders, customer and supplier rows, and their regions.
+
+    Orders and lines get their nations before they meet, and the few pairs of
+    nations are written: a graph reads its arcs several times, and all lines
+    would be joined each time.
+    """
+    orders, customer, lines, supplier = (table(spark, sf_dir, name) for name in ("orders", "customer", "lineitem", "supplier"))
+    buyers = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(customer.select("c_custkey", "c_nationkey"), "c_custkey").select("l_orderkey", "c_nationkey")
+    sellers = lines.select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(supplier.select("s_suppkey", "s_nationkey"), "s_suppkey").select("l_orderkey", "s_nationkey")
+    both = written(sellers.join(buyers, "l_orderkey").select("c_nationkey", "s_nationkey").distinct(), "flows")
     return arcs(both, node("nation", "c_nationkey"), "buysFrom", node("nation", "s_nationkey")).union(regions(spark, sf_dir))
 
 
